@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 import uuid
@@ -19,8 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts never meet in one batch by the thousand."""
+    """Keep Arrow batches small, so that long texts never meet in one batch by the thousand, and give workers this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless PYTHONPATH already leads them to it."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_mdframe_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as d:
+        tree = os.path.join(d, "tree")
+        shutil.copytree(package, os.path.join(tree, os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="mdframe-code-"), "mdframe"), "zip", tree)
+    context.addPyFile(archive)
+    context._mdframe_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:

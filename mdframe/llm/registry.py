@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mdframe.llm import bpe
+from mdframe.llm import bpe, minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     }
 
 
