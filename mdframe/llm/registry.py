@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mdframe.llm import bpe, minhash
+from mdframe.llm import bpe, embeddings, minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     }
