@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mdframe.llm import bpe, embeddings, minhash
+from mdframe.llm import bpe, embeddings, language, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_language_id": language.op9_language_id,
     }
 
 
