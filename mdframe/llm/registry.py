@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mdframe.llm import bpe, embeddings, language, minhash, toxicity
+from mdframe.llm import bpe, embeddings, language, minhash, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": language.op9_language_id,
+        "op10_quality": quality.op10_quality,
     }
 
 
