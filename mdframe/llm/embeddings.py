@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdframe.llm.common import connected_components, staged, table, tune, unstage
+from mdframe.llm.minhash import spanning
 
 #: Vectors from which pivots are chosen; the smallest by a hash of their values.
 PIVOT_SAMPLE = 4000
@@ -71,20 +72,6 @@ def _lengths(row: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[starts, len(row)])
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest vertex in the component of each of ``n``."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def join_block(ids, weights, vectors, left, right, cosine: float):
     """Links between ``left`` rows (at home) and ``right`` rows of a block: weighted counts of left rows, and (id, root) trees."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -102,7 +89,7 @@ def join_block(ids, weights, vectors, left, right, cosine: float):
     rank = np.empty_like(order)
     rank[order] = np.arange(len(ids))
     first = np.searchsorted(ids[order], ids)  # rows with one id are one vertex
-    root = _spanning(len(ids), first[i], first[j])
+    root = spanning(len(ids), first[i], first[j])
     touched = np.unique(np.r_[first[i], first[j]])
     return counts, ids[order][touched], ids[order][root[touched]]
 

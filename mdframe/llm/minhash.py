@@ -4,9 +4,10 @@ A signature holds ``COMPONENTS`` MinHash values of ``BITS`` bits. Two signatures
 of at most ``RADIUS`` must agree, but for one component, in one of ``CHUNKS`` chunks, as ``2 * CHUNKS > RADIUS``. So each
 signature is indexed under every chunk with every single component left out; equal keys find all pairs within the radius.
 
-Keys are range-partitioned on (key, id): no key is too hot for its task, as a run of equal keys may span tasks. A run of up
-to ``SMALL_RUN`` ids gives all its pairs; a longer one gives a star around its first id, and its other pairs are formed only
-between ids that confirmed links have not joined already.
+Keys are range-partitioned on (key, id): no key is too hot for its task, as a run of equal keys may span tasks; pieces of a cut
+run are put in one group. Within a run, signatures are compared and trees of the close pairs remain, so that a dense run of n ids
+leaves n - 1 pairs. Their components are the groups in which links are confirmed: a group's full shingle sets meet in pairs of
+blocks of bounded size, and again only trees of the confirmed links leave a block. No list of all pairs is ever formed.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import connected_components, is_empty, staged, table, tune, unstage
+from mdframe.llm.common import connected_components, staged, table, tune, unstage
 
 COMPONENTS = 64
 BITS = 16
 CHUNKS = 13
 RADIUS = 2 * CHUNKS - 1
-#: Candidates farther apart than this are not confirmed: at a similarity of 0.8 one pair in a million is.
+#: Signatures farther apart than this are not compared in full: at a similarity of 0.8 one pair in a million is.
 FARTHEST = 29
-SMALL_RUN = 6
+#: Rows of a run compared at once; pieces of longer runs stay in one group, which only adds comparisons.
+LONGEST_RUN = 1024
+#: Documents of a group compared in full at once are two blocks.
+BLOCK = 128
 WORDS_KEPT = 500_000
 
 _rng = np.random.default_rng(20240229)
@@ -118,7 +122,7 @@ def sign(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") ->
                 [
                     batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([(x := next(sig)).tobytes() + x.astype(np.uint8).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
                 names=["doc_id", "n", "digest", "sig"],
             )
@@ -132,7 +136,7 @@ def _keyed(classes: DataFrame) -> DataFrame:
         for batch in it:
             if not len(batch):
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+            sig = np.frombuffer(b"".join(x[: 2 * COMPONENTS] for x in batch.column(1).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
             keys = index_keys(sig).view(np.int64)
             ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
@@ -140,128 +144,183 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _scan(it):
-    """Of rows sorted by (key, id): stars (0), other pairs of small runs (1), members of long runs (2), ends of the partition (3)."""
-    def emit(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
-
-    none = np.zeros(0, np.int64)
-    held_k, held_i, long_key, center, first = none, none, None, None, None
-    last = None
+def _runs_of(it, most: int):
+    """Runs of equal keys over batches of sorted rows, as (key, columns, first piece?); a longer run comes in pieces of ``most`` rows."""
+    held, going = None, None
     for batch in it:
         if not len(batch):
             continue
-        k, i = np.concatenate([held_k, batch.column(0).to_numpy()]), np.concatenate([held_i, batch.column(1).to_numpy()])
-        if first is None:
-            first = (k[0], i[0])
-        if long_key is not None:  # a long run goes on
-            m = int(np.searchsorted(k != long_key, True)) if (k != long_key).any() else len(k)
-            if m:
-                yield emit(2, k[:m], i[:m])
-                if (i[:m] != center).any():
-                    ids = np.unique(i[:m][i[:m] != center])
-                    yield emit(0, np.full(len(ids), center), ids)
-            k, i = k[m:], i[m:]
-            if len(k):
-                long_key = None
-        if not len(k):
-            held_k, held_i = none, none
-            continue
+        cols = [c.to_numpy(zero_copy_only=False) if not pa.types.is_binary(c.type) else np.array(c.to_pylist(), object) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        k = cols[0]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        sizes = np.diff(np.r_[starts, len(k)])
-        last_size = sizes[-1]
-        last = (k[starts[-1]], i[starts[-1]])
-        if last_size <= SMALL_RUN:  # it may go on in the next batch
-            held_k, held_i = k[starts[-1]:], i[starts[-1]:]
-            starts, sizes = starts[:-1], sizes[:-1]
-        else:
-            held_k, held_i, long_key, center = none, none, k[starts[-1]], i[starts[-1]]
-        yield from _runs(emit, k, i, starts, sizes)
-        if long_key is not None:
-            last = (long_key, center)
-    if len(held_k):
-        yield from _runs(emit, held_k, held_i, np.array([0]), np.array([len(held_k)]))
-    ends = [x for x in (first, last) if x is not None]
-    if ends:
-        yield emit(3, np.array([x[0] for x in ends], np.int64), np.array([x[1] for x in ends], np.int64))
-
-
-def _runs(emit, k, i, starts, sizes):
-    more = sizes > 1
-    starts, sizes = starts[more], sizes[more]
-    if not len(starts):
-        return
-    big = sizes > SMALL_RUN
-    rows = np.repeat(starts, sizes)
-    at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + rows
-    a, b = i[rows], i[at]
-    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    if len(pairs):
-        yield emit(0, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
-    member = np.repeat(big, sizes)
-    if member.any():
-        yield emit(2, k[at[member]], i[at[member]])
-    found = []
-    for s in range(3, SMALL_RUN + 1):
-        some = starts[sizes == s]
-        for p in range(1, s):
-            for q in range(p + 1, s):
-                found.append(np.stack([i[some + p], i[some + q]], 1))
-    if found and len(found := np.concatenate(found)):
-        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
-        yield emit(1, np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]))
-
-
-def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity and whose signatures are within ``FARTHEST``."""
-    def run(it):
-        for batch in it:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for c in (2, 3))
-            near = (x != y).sum(axis=1) <= FARTHEST
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+        tail = starts[-1]
+        if len(starts) > 1:
+            yield starts[:-1], np.diff(starts), [c[:tail] for c in cols], going
+            going = None
+        rest = [c[tail:] for c in cols]
+        while len(rest[0]) > most:
+            piece = [c[:most] for c in rest]
+            yield np.array([0]), np.array([most]), piece, going
+            going = piece[1][0] if going is None else going
+            rest = [c[most:] for c in rest]
+        held = rest
+    if held is not None and len(held[0]):
+        yield np.array([0]), np.array([len(held[0])]), held, going
+
+
+def _rows(kind: int, a, b) -> pa.RecordBatch:
+    a, b = (np.ascontiguousarray(x, np.int64) for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
-
-def _sets(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> DataFrame:
+def _scan(it):
+    """Of rows sorted by (key, id): pairs of runs of two (0), rows of longer runs (1), both ends of the partition (2)."""
+    first = last = None
+    for starts, sizes, (k, i), going in _runs_of(it, 4096):
+        first = first or (k[0], i[0])
+        last = (k[-1], i[-1])
+        two = starts[sizes == 2] if going is None else starts[:0]
+        if len(two):
+            yield _rows(0, i[two], i[two + 1])
+        more = np.repeat(sizes > 2, sizes)
+        if going is not None:
+            more[: sizes[0]] = True
+        if more.any():
+            yield _rows(1, k[more], i[more])
+    if first:
+        yield _rows(2, [first[0], last[0]], [first[1], last[1]])
+
+
+def _compare(it):
+    """Of rows of longer runs with their short signatures: trees of the pairs within ``FARTHEST`` (0), both ends of the partition (2)."""
+    first = last = None
+    for starts, sizes, (k, i, packed), going in _runs_of(it, LONGEST_RUN):
+        first = first or (k[0], i[0])
+        last = (k[-1], i[-1])
+        sig = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, COMPONENTS)
+        found = []
+        if going is not None:  # pieces of one run stay together, whatever their distances
+            found.append([[going, i[0]]])
+        for s in range(2, 6):
+            some = starts[sizes == s]
+            for p in range(s if len(some) else 0):
+                for q in range(p + 1, s):
+                    near = (sig[some + p] != sig[some + q]).sum(axis=1) <= FARTHEST
+                    found.append(np.stack([i[some + p][near], i[some + q][near]], 1))
+        for start, size in zip(starts[sizes > 5], sizes[sizes > 5], strict=True):
+            own, ids = sig[start : start + size], i[start : start + size]
+            pairs = [np.argwhere((own[r : r + 64, None] != own[None]).sum(axis=2) <= FARTHEST) + [r, 0] for r in range(0, size, 64)]
+            x, y = np.concatenate(pairs).T
+            found.append(np.stack([ids[spanning(size, x, y)], ids], 1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
+        if len(found):
+            yield _rows(0, found[:, 0], found[:, 1])
+    if first:
+        yield _rows(2, [first[0], last[0]], [first[1], last[1]])
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest vertex in the component of each of ``n``."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _joined_ends(rows: DataFrame) -> DataFrame:
+    """Of partitions' ends: a run that was cut, as rows (key, id) of its ends."""
+    ends = rows.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+    return ends.join(ends.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("z")).where("first < z").drop("z"), "key")
+
+
+def similar_sets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets with a Jaccard similarity of ``percent`` / 100 or more."""
+    size = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = np.sort(np.concatenate(sets))
+        same = np.array([[0, (both[1:] == both[:-1]).sum()], [0, 0]])
+    else:
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = times[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        same = np.zeros((len(sets), len(sets)))
+        wide = 4096
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+            lo, hi = np.searchsorted(column, [start, start + wide])
+            x = np.zeros((len(sets), wide), np.float32)
+            x[row[lo:hi], column[lo:hi] - start] = 1
+            same += x @ x.T
+    i, j = np.triu_indices(len(sets), 1)
+    inter = same[i, j]
+    ok = 100 * inter >= percent * (size[i] + size[j] - inter)
+    return i[ok], j[ok]
+
+
+def _blocks(docs: DataFrame, groups: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """Shingle sets of grouped documents, dealt to all pairs of their group's blocks."""
     def run(it):
         for batch in _batches(it):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "s"]
-            )
+            ids, group, blocks = (batch.column(c).to_numpy() for c in (0, 2, 3))
+            own = ((ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+            packed = pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            row = np.repeat(np.arange(len(ids)), blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            for s in range(0, len(row), 500):
+                r, o = row[s : s + 500], other[s : s + 500]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[r]), pa.array(np.minimum(own[r], o)), pa.array(np.maximum(own[r], o)), pa.array(ids[r]), packed.take(pa.array(r))],
+                    names=["g", "i", "j", "id", "s"],
+                )
 
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").cast("binary").alias("t"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, s binary")
+    rows = rows.join(groups.hint("merge"), "id").select("id", "t", "g", "blocks")
+    return rows.mapInArrow(run, "g long, i long, j long, id long, s binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
+def _links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Trees of the confirmed links in each block."""
     def run(it):
-        for batch in it:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+        held: list = []
+        out: list = []
 
+        def close():
+            ids = np.array([h[1] for h in held])
+            a, b = similar_sets([np.frombuffer(h[2], np.uint64) for h in held], percent) if len(held) > 1 else ((), ())
+            if len(a):
+                root = spanning(len(ids), a, b)
+                on = np.unique(np.r_[a, b])
+                out.append(np.stack([ids[root[on]], ids[on]], 1))
 
-def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs that the components so far do not join."""
-    left = components.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = components.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        for batch in it:
+            g, i, j, ids = (batch.column(c).to_pylist() for c in range(4))
+            for at, one, s in zip(zip(g, i, j, strict=True), ids, batch.column(4).to_pylist(), strict=True):
+                if held and held[0][0] != at:
+                    close()
+                    held.clear()
+                held.append((at, one, s))
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        close()
+        if out:
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    dealt = blocks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,39 +333,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     """
     signed = staged(sign(docs, size, key, text), "signed")
     classes = staged(
-        signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min("sig").alias("sig")),
-        "classes",
+        signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes"
+    )
+    keyed = _keyed(classes).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    runs = staged(keyed.mapInArrow(_scan, "kind int, a long, b long"), "runs")
+    cut = _joined_ends(runs).select("key", "id")
+    members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).union(cut).distinct()
+    twos = runs.where("kind = 0").select(F.xxhash64("a", "b").alias("key"), "a", "b").distinct()
+    twos = twos.select("key", F.explode(F.array("a", "b")).alias("id"))
+    named = classes.select("id", F.substring("sig", COMPONENTS * 2 + 1, COMPONENTS).alias("sig"))
+    rows = members.union(twos).join(named, "id").select("key", "id", F.col("sig"))
+    compared = staged(
+        rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_compare, "kind int, a long, b long"), "compared"
     )
-    runs = staged(_keyed(classes).repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_scan, "kind int, a long, b long"), "runs")
-    ends = runs.where("kind = 3").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
-    split = ends.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    seams = ends.join(split.select("key", "a"), "key").where("a != id").select("a", F.col("id").alias("b"))
-    stars = staged(runs.where("kind = 0").select("a", "b").union(seams).distinct(), "stars")
-    others = runs.where("kind = 1").select("a", "b").distinct()
-    near = staged(_close(stars, classes, percent), "near")
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = staged(_sets(docs, ids, size, key, text), "sets")
-    links = staged(_confirmed(near, sets, percent), "links")
-    joined = staged(connected_components(links), "joined")
-
-    # what the stars left open: other pairs of small runs, and pairs of long runs between different components
-    members = runs.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    members = members.union(ends.join(split.select("key"), "key", "left_semi")).distinct()
-    named = staged(members.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "members")
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    rows = staged(named.join(mixed, "key"), "mixed")
-    odd = rows.where("c != lo").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    every = rows.select("key", F.col("id").alias("y"), F.col("c").alias("cy"))
-    crossed = odd.join(every, "key").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = _apart(others.union(crossed).distinct(), joined).join(stars, ["a", "b"], "left_anti")
-    near2 = staged(_close(rest, classes, percent), "near2")
-    if not is_empty(near2):
-        ids2 = near2.select(F.col("a").alias("id")).union(near2.select(F.col("b").alias("id"))).distinct()
-        sets2 = staged(_sets(docs, ids2.join(ids, "id", "left_anti"), size, key, text), "sets2")
-        links2 = staged(_confirmed(near2, sets.union(sets2), percent), "links2")
-        if not is_empty(links2):
-            joined = connected_components(links.union(links2))
-    for used in (runs, stars, sets):
+    near = compared.where("kind = 0").select("a", "b").union(_joined_ends(compared).select(F.col("first").alias("a"), F.col("id").alias("b")))
+    groups = staged(connected_components(near), "groups")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    grouped = groups.join(sizes, "component").select("id", F.col("component").alias("g"), "blocks")
+    links = staged(_links(_blocks(docs, grouped, size, key, text), percent), "links")
+    joined = connected_components(links)
+    for used in (runs, compared):
         unstage(used)
 
     found = classes.select("digest", F.col("id").alias("rep")).join(joined.withColumnRenamed("id", "rep"), "rep", "left")
