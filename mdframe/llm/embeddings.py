@@ -1,11 +1,11 @@
 """Near-duplicate embeddings: an exact metric range join over pivot cells.
 
 On unit vectors a cosine of at least ``c`` is a distance of at most ``r = sqrt(2 - 2 c)`` and an angle of at most ``acos(c)``.
-Each vector has a home: its nearest pivot, and there the ring of its angle to the pivot. A neighbour of a vector at home in
-cell ``p`` is within ``r`` of that cell's side of the bisector of ``p`` and its own pivot, and by the triangle inequality its angle to
-``p`` differs by at most the range's angle. Each vector is replicated to the rings where both bounds leave room, so that every
-ring holds all neighbours of its home vectors and rings join independently, in blocks of bounded size. Counts add up over the
-home vectors; of links only spanning trees leave a block.
+Each vector is at home in the cell of its nearest pivot. A neighbour of a vector at home in cell ``p`` is within ``r`` of that
+cell's side of the bisector of ``p`` and its own pivot, and by the triangle inequality its angle to ``p`` is at most the cell's
+radius plus the range's angle. Each vector is replicated to the cells where both bounds leave room, so that every cell holds all
+neighbours of its home vectors and cells join independently, in blocks of bounded size. Counts add up over the home vectors; of
+links only spanning trees leave a block.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from mdframe.llm.minhash import spanning
 
 #: Vectors from which pivots are chosen; the smallest by a hash of their values.
 PIVOT_SAMPLE = 4000
-MOST_PIVOTS = 256
-VECTORS_A_PIVOT = 1500
-RINGS = 24
-BLOCK = 256
+MOST_PIVOTS = 64
+VECTORS_A_PIVOT = 3000
+#: Home and other rows of a cell that meet in one task.
+HOME_BLOCK, OTHER_BLOCK = 2048, 4096
 #: Slack for single precision; what falls in it is computed again in double precision.
 SLACK = 1e-4
 
@@ -41,35 +41,19 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _ring(angle: np.ndarray) -> np.ndarray:
-    return np.clip((angle * (RINGS / np.pi)).astype(int), 0, RINGS - 1)
-
-
-def places(unit: np.ndarray, pivots: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, pivots, rings and whether at home, of all places of the given unit vectors."""
+def places(unit: np.ndarray, pivots: np.ndarray, cosine: float, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, pivots and whether at home, of all places of the given unit vectors; ``radius`` is the largest angle at home in each cell."""
     eps = 1e-6
     reach = np.sqrt(2 - 2 * cosine) + eps
-    wide = np.arccos(cosine) + eps
     cos = np.clip(unit @ pivots.T, -1, 1)
     home = cos.argmax(axis=1)
     gap = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))[home]
     own = np.take_along_axis(cos, home[:, None], 1)
-    near = (own - cos) <= reach * gap + eps
+    furthest = np.cos(np.minimum(np.pi, radius + np.arccos(cosine) + eps))
+    near = ((own - cos) <= reach * gap + eps) & (cos >= furthest - eps)
+    near[np.arange(len(unit)), home] = True
     row, pivot = np.nonzero(near)
-    angle = np.arccos(cos[row, pivot])
-    low, high = _ring(angle - wide), _ring(angle + wide)
-    times = high - low + 1
-    row, pivot, low, angle, times = (np.repeat(x, times) for x in (row, pivot, low, angle, times))
-    offset = np.arange(len(row)) - np.repeat(np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pivot[1:] != pivot[:-1])]) if len(row) else np.zeros(0, int), _lengths(row, pivot))
-    ring = low + offset
-    return row, pivot, ring, (pivot == home[row]) & (ring == _ring(angle))
-
-
-def _lengths(row: np.ndarray, pivot: np.ndarray) -> np.ndarray:
-    if not len(row):
-        return np.zeros(0, int)
-    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pivot[1:] != pivot[:-1])])
-    return np.diff(np.r_[starts, len(row)])
+    return row, pivot, pivot == home[row]
 
 
 def join_block(ids, weights, vectors, left, right, cosine: float):
@@ -103,36 +87,45 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _of_dimension(classes: DataFrame, dim: int, cosine: float) -> tuple[DataFrame, list[DataFrame]]:
+def _of_dimension(classes: DataFrame, dim: int, cosine: float, kind: str) -> DataFrame:
     """``(id, n, root)`` rows of blocks for the vectors of one dimension; n is null in rows that only give a root."""
     own = classes.where(F.size("v") == dim)
     count = own.count()
     sample = own.orderBy(F.xxhash64("v"), "id").select("v").limit(PIVOT_SAMPLE).collect()
     pivots = choose_pivots(_unit(np.array([r[0] for r in sample], "f8")), int(np.clip(count // VECTORS_A_PIVOT, 4, MOST_PIVOTS)))
 
+    def widths(it):
+        for batch in it:
+            if len(batch):
+                cos = np.clip(_unit(_matrix(batch.column(0), dim)) @ pivots.T, -1, 1)
+                cell, angle = cos.argmax(axis=1), np.arccos(cos.max(axis=1))
+                cells = np.unique(cell)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells.astype("i8")), pa.array(np.array([angle[cell == c].max() for c in cells])), pa.array(np.bincount(cell)[cells].astype("i8"))],
+                    names=["cell", "angle", "h"],
+                )
+
+    radius, down, across = np.full(len(pivots), -np.pi), np.zeros(len(pivots), int), np.zeros(len(pivots), int)
+    seen = own.select("v").mapInArrow(widths, "cell long, angle double, h long").groupBy("cell").agg(F.max("angle"), F.sum("h"))
+    for cell, angle, h in seen.collect():  # at most MOST_PIVOTS rows
+        radius[cell], down[cell] = angle, -(-h // HOME_BLOCK)
+
     def census(it):
         for batch in it:
             if len(batch):
-                _, pivot, ring, home = places(_unit(_matrix(batch.column(0), dim)), pivots, cosine)
-                cell, n = np.unique(pivot * RINGS + ring, return_counts=True)
-                at_home = np.bincount(pivot * RINGS + ring, home)[cell].astype("i8")
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype("i8")), pa.array(n.astype("i8")), pa.array(at_home)], names=["cell", "n", "h"])
-
-    seen = own.select("v").mapInArrow(census, "cell long, n long, h long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
-    sizes = {r[0]: (r[1], r[2]) for r in seen.collect()}  # at most MOST_PIVOTS * RINGS rows
-    across = np.zeros(len(pivots) * RINGS, int)
-    down = np.zeros(len(pivots) * RINGS, int)
-    for cell, (n, h) in sizes.items():
-        across[cell], down[cell] = -(-n // BLOCK), -(-h // BLOCK)
+                _, pivot, _ = places(_unit(_matrix(batch.column(0), dim)), pivots, cosine, radius)
+                cells, n = np.unique(pivot, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype("i8")), pa.array(n.astype("i8"))], names=["cell", "n"])
+
+    for cell, n in own.select("v").mapInArrow(census, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        across[cell] = -(-n // OTHER_BLOCK)
 
     def spread(it):
         for batch in it:
             if not len(batch):
                 continue
             ids = batch.column(0).to_numpy()
-            vectors = _matrix(batch.column(2), dim)
-            row, pivot, ring, home = places(_unit(vectors), pivots, cosine)
-            cell = pivot * RINGS + ring
+            row, cell, home = places(_unit(_matrix(batch.column(2), dim)), pivots, cosine, radius)
             used = down[cell] > 0
             row, cell, home = row[used], cell[used], home[used]
             mixed = (ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
@@ -160,7 +153,7 @@ def _of_dimension(classes: DataFrame, dim: int, cosine: float) -> tuple[DataFram
         get = lambda name: rows.column(name).to_numpy()
         home = get("at_home").astype(bool)
         ids, weights = get("id"), get("w")
-        vectors = _matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())), dim)
+        vectors = _matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float32() if kind == "float" else pa.float64())), dim)
         counts, linked, roots = join_block(ids, weights, vectors, home, ~home, cosine)
         some = np.flatnonzero(counts)
         return pa.table({
@@ -168,8 +161,8 @@ def _of_dimension(classes: DataFrame, dim: int, cosine: float) -> tuple[DataFram
             "root": pa.array(np.r_[ids[some], roots]),
         })
 
-    spreaded = own.mapInArrow(spread, "cell long, i int, j int, at_home boolean, id long, w long, v array<double>")
-    return spreaded.groupBy("cell", "i", "j").applyInArrow(block, "id long, n long, root long")
+    spread_out = own.mapInArrow(spread, f"cell long, i int, j int, at_home boolean, id long, w long, v array<{kind}>")
+    return spread_out.groupBy("cell", "i", "j").applyInArrow(block, "id long, n long, root long")
 
 
 def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -180,17 +173,18 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
     empty, zero or hold null or non-finite components have no links, and vectors of different lengths have none with one another.
     Rows that repeat an id with an equal vector are linked like other equal rows. A null id is not kept and gives a null component.
     """
-    values = F.col(vector).cast("array<double>")
+    kind = "float" if "float" in dict(rows.dtypes)[vector] else "double"
+    values = F.col(vector).cast(f"array<{kind}>")
     rows = rows.select(rows[key].cast("long").alias("id"), rows[vector].alias(vector)).withColumn("v", values)
     sound = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.select("id", F.when(F.col("id").isNotNull() & sound, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
+    rows = rows.select("id", F.when(F.col("id").isNotNull() & sound, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast(kind))).alias("v"))
     rows = rows.withColumn("d", F.sha2(F.to_binary(F.array_join(F.transform("v", lambda x: F.hex(F.xxhash64(x))), ""), F.lit("utf-8")), 256))
     given = staged(rows, "vectors")
     classes = staged(given.where("v is not null").groupBy("d").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v")), "classes")
     dims = [r[0] for r in classes.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
     found = None
     for dim in dims:
-        part = _of_dimension(classes.select("id", "w", "v"), dim, cosine)
+        part = _of_dimension(classes.select("id", "w", "v"), dim, cosine, kind)
         found = part if found is None else found.union(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "id long, n long, root long")
