@@ -23,26 +23,21 @@ BROADCAST_CHARS = 20_000_000
 
 def word_hashes(text: Column) -> Column:
     """Hashes of a text's words: runs of letters and digits, in lower case."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
-
-
-def seeds(words: str) -> Column:
-    """All seeds of a word-hash column: those of the first mask by position, then the next mask's; empty below ``SPAN`` words."""
-    places = F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN)).otherwise(F.array().cast("array<int>"))
-
-    def by(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(F.lit(k), *[F.get(F.col(words), i + o) for o in mask]))
-
-    return F.concat(*[by(k, m) for k, m in enumerate(MASKS)])
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _seeded(rows: DataFrame, key: str, text: str, names: tuple[str, str, str]) -> DataFrame:
-    """A row for each seed: ``key``, word hashes, position and seed."""
+    """A row for each seed: ``key``, word hashes, position and seed; none below ``SPAN`` words.
+
+    Words are exploded first and seeds are made of array reads beside each position, so that hashing and the probe of the
+    index run in one generated loop. The explodes are outer: else Catalyst computes their inputs again in a filter below.
+    """
     words, pos, seed = names
-    rows = rows.select(key, word_hashes(F.col(text)).alias(words)).select(key, words, seeds(words).alias("__s"))
-    rows = rows.select(key, words, F.posexplode_outer("__s").alias("__i", seed))  # outer: else Catalyst computes all of it again in a filter below
-    return rows.withColumn(pos, F.col("__i") % (F.size(words) - (SPAN - 1))).drop("__i")
+    rows = rows.select(key, word_hashes(F.col(text)).alias(words)).select(key, words, F.posexplode_outer(words).alias(pos, "__w"))
+    rows = rows.where(F.col(pos) <= F.size(words) - SPAN)
+    made = [F.xxhash64(F.lit(k), *[F.get(F.col(words), F.col(pos) + o) for o in mask]) for k, mask in enumerate(MASKS)]
+    return rows.select(key, words, pos, F.explode_outer(F.array(*made)).alias(seed))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
