@@ -226,24 +226,32 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     return out.mapInArrow(run, "k long, ids array<int>, decoded binary").withColumnRenamed("k", key)
 
 
-def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """As :func:`encode_documents`, but with counts and digests made beside the encoder, so that ids never leave the worker."""
+def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """As :func:`encode_documents`, but with counts and digests made beside the encoder, so that decoded texts never leave the worker.
+
+    ``with_ids`` adds the ids as an array.
+    """
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, raws = [], [], [], []
             for t in batch.column(1).to_pylist():
                 raw = enc.encode_bytes(t)
                 n.append(len(raw) // 4)
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
                 text_sha.append(hashlib.sha256(enc.decode(memoryview(raw).cast("I"))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["k", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                raws.append(raw)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype("i4")
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
-    return out.mapInArrow(run, "k long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    schema = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return out.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,6 +364,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     )
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``docs``, the smallest id, with all its columns; rows without an id stay."""
+    kept = near_duplicates(docs, size, percent).where("kept").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
