@@ -169,8 +169,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, penalt
 def with_score(docs: DataFrame, model: RuleEnsemble, name: str = "score", text: str = "text") -> DataFrame:
     """``docs`` with the score of each whole text in a new last column ``name``; a null text scores as an empty one."""
     stats = statistics(F.col(text))
-    held = docs.select("*", F.struct(*[c.alias(k) for k, c in stats.items()]).alias("__stats"))
-    score = model.column({k: F.col("__stats")[k] for k in stats})
+    held = docs.select("*", F.struct(*[c.alias(f"__{k}") for k, c in stats.items()]).alias("__stats"))
+    held = held.select(*docs.columns, F.inline_outer(F.array("__stats")))  # a barrier: no filter on the score computes statistics again for each rule
+    score = model.column({k: F.col(f"__{k}") for k in stats})
     return held.select(*[held[c] for c in docs.columns], score.alias(name))
 
 
