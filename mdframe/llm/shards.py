@@ -1,6 +1,6 @@
 """Token shards in training order.
 
-Every text becomes sequences of ``LENGTH`` token ids. Sequences are numbered by document; a keyed Feistel permutation with
+Every text becomes sequences of ``LENGTH`` token ids. Sequences are numbered in the order of the input; a keyed Feistel permutation with
 cycle-walking gives each number a global slot, without any sort by random keys. Ranges of slots are written as shards of fixed stride, so slot
 ``s`` is at byte ``(s % shard_size) * LENGTH * 2`` of shard ``s // shard_size``: reading on from any slot is one seek.
 """
@@ -13,6 +13,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ END_OF_TEXT = 50256
 LENGTH = 256
 STRIDE = LENGTH * 2
 SHARD_SIZE = 4096
+#: Bytes of sequences that a task gathers by shard before it compresses and sends them.
+GATHERED = 16 << 20
 KEY = 20240607
 ROUNDS = 6
 
@@ -62,41 +65,45 @@ def _encoding(path: str | None):
 
 
 def _tokens(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
-    """``(doc_id, n, ids)``: a text's ids and an end of text, as little-endian unsigned 16-bit integers."""
+    """``(doc_id, k, ids, local, part)``: a text's ids and an end of text, as little-endian unsigned 16-bit integers; its number of
+    sequences; and how many its partition has before it."""
     def run(it):
-        enc = _encoding(path)
+        enc, at = _encoding(path), 0
         for batch in it:
             ids = [np.array([*enc.encode_ordinary(t or ""), END_OF_TEXT], "<u2") for t in batch.column(1).to_pylist()]
+            k = np.array([-(-len(x) // LENGTH) for x in ids], np.int64)
+            end = at + np.cumsum(k)
+            at = int(end[-1]) if len(end) else at
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"]
+                [batch.column(0), pa.array(k), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(end - k)], names=["doc_id", "k", "ids", "local"]
             )
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, k long, ids binary, local long").withColumn("part", F.spark_partition_id())
 
 
-def numbered(counts: DataFrame) -> tuple[DataFrame, int]:
-    """``(uid, first)`` of rows ``(uid, doc_id, k)``: how many sequences come before, in order of doc_id and uid; and their total.
+def _packed(rows: list[tuple]) -> bytes:
+    """Sequences (slot, doc_id, seq_no, ids) of one shard, compressed together."""
+    slot, doc, seq, data = zip(*rows, strict=True)
+    parts = [
+        np.array(slot, "<i8"), np.array([0 if d is None else d for d in doc], "<i8"), np.array([d is None for d in doc], "u1"),
+        np.array(seq, "<i4"), np.array([len(d) // 2 for d in data], "<i4"),
+    ]
+    return zstandard.compress(b"".join([x.tobytes() for x in parts] + list(data)), 3)
 
-    Rows are range-partitioned and added up in each partition; only the partitions' sums, a row each, reach the driver.
-    """
-    def run(it):
-        at = 0
-        for batch in it:
-            k = batch.column(1).to_numpy()
-            end = at + np.cumsum(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(end - k), batch.column(1), batch.column(2)], names=["uid", "local", "k", "part"])
-            at = int(end[-1]) if len(end) else at
 
-    ordered = counts.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    local = staged(ordered.select("uid", "k", F.spark_partition_id().alias("part")).mapInArrow(run, "uid long, local long, k long, part int"), "numbers")
-    before, offsets = 0, []
-    for part, k in sorted(local.groupBy("part").agg(F.sum("k")).collect()):
-        offsets.append((part, before))
-        before += k
-    spark = counts.sparkSession
-    sums = spark.createDataFrame(offsets or [(0, 0)], "part int, before long")
-    return local.join(F.broadcast(sums), "part").select("uid", (F.col("local") + F.col("before")).alias("first")), before
+def _unpacked(blob: bytes, n: int) -> list[tuple]:
+    raw = zstandard.decompress(blob)
+    out, at = [], 0
+    for kind, size in (("<i8", 8), ("<i8", 8), ("u1", 1), ("<i4", 4), ("<i4", 4)):
+        out.append(np.frombuffer(raw, kind, n, at).tolist())
+        at += size * n
+    slot, doc, null, seq, count = out
+    rows = []
+    for s, d, x, q, c in zip(slot, doc, null, seq, count, strict=True):
+        rows.append((s, None if x else d, q, raw[at : at + 2 * c]))
+        at += 2 * c
+    return rows
 
 
 def _put(folder: str, name: str, data: bytes) -> bytes:
@@ -128,64 +135,75 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     empty text is one sequence that holds the end of text; repeated rows have sequences of their own; rows with a null id come first.
     Places after a sequence's last token hold the end of text too. The last shard may be shorter.
     """
-    held = staged(_tokens(docs, key, text, path).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    first, total = numbered(held.select("uid", "doc_id", F.ceil(F.col("n") / LENGTH).cast("long").alias("k")))
+    spark = docs.sparkSession
+    was = spark.conf.get("spark.sql.parquet.compression.codec")
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+    try:
+        held = staged(_tokens(docs, key, text, path), "tokens")
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", was)
+    total, before = 0, {}
+    for part, k in sorted(held.groupBy("part").agg(F.sum("k")).collect()):  # a row for each partition of the input
+        before[part] = total
+        total += k
 
     def cut(it):
+        shards: dict[int, list] = {}
+        size = 0
+
+        def send():
+            names = sorted(shards)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array([len(shards[x]) for x in names], pa.int64()), pa.array([_packed(shards[x]) for x in names], pa.binary())],
+                names=["shard", "rows", "blob"],
+            )
+
         for batch in it:
-            ids, raws, firsts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            for s in range(0, len(ids), 100):
-                doc, seq, n, data, number = [], [], [], [], []
-                for one, raw, start in zip(ids[s : s + 100], raws[s : s + 100], firsts[s : s + 100], strict=True):
-                    for k in range(-(-len(raw) // STRIDE)):
-                        piece = raw[k * STRIDE : (k + 1) * STRIDE]
-                        doc.append(one)
-                        seq.append(k)
-                        n.append(len(piece) // 2)
-                        data.append(piece)
-                        number.append(int(start) + k)
-                slot = feistel(np.array(number, np.int64), total, seed)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot // shard_size), pa.array(slot), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
-                    names=["shard", "slot", "doc_id", "seq_no", "n", "data"],
-                )
+            docs_, raws, local, part = (batch.column(c).to_pylist() for c in range(4))
+            number, rows = [], []
+            for doc, raw, start, p in zip(docs_, raws, local, part, strict=True):
+                for k in range(-(-len(raw) // STRIDE)):
+                    number.append(before[p] + start + k)
+                    rows.append((doc, k, raw[k * STRIDE : (k + 1) * STRIDE]))
+            for slot, (doc, k, piece) in zip(feistel(np.array(number, np.int64), total, seed).tolist(), rows, strict=True):
+                shards.setdefault(slot // shard_size, []).append((slot, doc, k, piece))
+                size += STRIDE
+            if size >= GATHERED:
+                yield from send()
+                shards.clear()
+                size = 0
+        if shards:
+            yield from send()
 
     pad = np.full(LENGTH, END_OF_TEXT, "<u2").tobytes()
 
-    def write(it):
-        held: list = []
-        size = 0
-
-        def close():
-            shard = held[0].column(0)[0].as_py()
-            rows = pa.Table.from_batches(held).combine_chunks()
-            data = b"".join(x + pad[len(x) :] for x in rows.column("data").to_pylist())
-            back = _put(folder, f"shard-{shard:08d}.bin", data)
-            n = rows.column("n").to_pylist()
-            at = [(s % shard_size) * STRIDE for s in rows.column("slot").to_pylist()]
-            sha = [hashlib.sha256(back[a : a + 2 * k]).hexdigest() for a, k in zip(at, n, strict=True)]
-            for b in rows.select(["doc_id", "seq_no", "slot", "shard"]).append_column("byte_offset", pa.array(at, pa.int64())).append_column(
-                "n_tokens", rows.column("n")).append_column("tokens_sha256", pa.array(sha, pa.string())).to_batches():
-                yield b
+    def close(shard: int, rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[0])
+        back = _put(folder, f"shard-{shard:08d}.bin", b"".join(r[3] + pad[len(r[3]) :] for r in rows))
+        at = [r[0] % shard_size * STRIDE for r in rows]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([shard] * len(rows), pa.int64()), pa.array(at, pa.int64()), pa.array([len(r[3]) // 2 for r in rows], pa.int32()),
+                pa.array([hashlib.sha256(back[a : a + len(r[3])]).hexdigest() for a, r in zip(at, rows, strict=True)], pa.string()),
+            ],
+            names=["doc_id", "seq_no", "slot", "shard", "byte_offset", "n_tokens", "tokens_sha256"],
+        )
 
+    def write(it):
+        now, rows = None, []
         for batch in it:
-            shards = batch.column(0).to_numpy()
-            edges = [0, *np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(shards)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if held and held[0].column(0)[0].as_py() != shards[a]:
-                    yield from close()
-                    held.clear()
-                held.append(batch.slice(a, b - a))
-                size += b - a
-        if held:
-            yield from close()
-
-    sequences = held.join(first, "uid").select("doc_id", "ids", "first").mapInArrow(
-        cut, "shard long, slot long, doc_id long, seq_no int, n int, data binary"
-    )
-    dealt = sequences.repartitionByRange("shard").sortWithinPartitions("slot")
+            for shard, n, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if now is not None and shard != now:
+                    yield close(now, rows)
+                    rows = []
+                now = shard
+                rows += _unpacked(blob, n)
+        if now is not None:
+            yield close(now, rows)
+
+    sequences = held.select("doc_id", "ids", "local", "part").mapInArrow(cut, "shard long, rows long, blob binary")
+    dealt = sequences.repartitionByRange("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(write, "doc_id long, seq_no int, slot long, shard long, byte_offset long, n_tokens int, tokens_sha256 string")
 
 
