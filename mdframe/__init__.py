@@ -1,0 +1,19 @@
+"""mdframe: a query language over documents and tables, compiled to Spark DataFrames."""
+
+from __future__ import annotations
+
+__all__ = ["Engine", "QueryError", "QueryResult", "parse", "tokenize"]
+__version__ = "0.1.0"
+
+
+def __getattr__(name: str):
+    """Names load on first use, so that Python workers start without the query compiler."""
+    if name in ("Engine", "QueryResult"):
+        from mdframe import engine
+
+        return getattr(engine, name)
+    if name in ("QueryError", "parse", "tokenize"):
+        from mdframe import lang
+
+        return getattr(lang, name)
+    raise AttributeError(name)
