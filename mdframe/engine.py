@@ -59,8 +59,13 @@ class Engine:
         self.default = self.default or name
 
     def register_parquet(self, folder: str, *names: str) -> None:
+        """Make parquet tables known; each is opened when a query first names it."""
         for name in names:
-            self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
+            self.register_lazy(name, lambda name=name: self.spark.read.parquet(f"{folder}/{name}.parquet"))
+
+    def register_lazy(self, name: str, make: Callable[[], DataFrame]) -> None:
+        self.tables[name] = make
+        self.default = self.default or name
 
     def register_directory(self, *directories: str, name: str = "documents", **options) -> None:
         """Make the markdown files under directories a table."""
@@ -79,6 +84,8 @@ class Engine:
     def table(self, name: str | None) -> Table:
         name = name or self.default
         if name in self.tables:
+            if callable(self.tables[name]):
+                self.register(name, self.tables[name]())
             return self.tables[name]
         if name is not None and self.spark.catalog.tableExists(name):
             return Table(self.spark.table(name))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mdframe.functions.scalar import wildcard
 from mdframe.lang.tokens import QueryError
@@ -27,11 +29,22 @@ INLINE = frozenset("link linkRef image imageRef inlineCode em strong del break f
 PLACES = {name: f"el_{name}" for name in ELEMENT_FIELD}
 
 
-def index_column(body: Column, inline: bool) -> Column:
-    """The parsed index of a body as one struct; a deterministic Arrow UDF, so that any number of uses parse once."""
-    @F.pandas_udf(INDEX_TYPE)
-    def parsed(bodies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_index(b, inline) for b in bodies], columns=INDEX_TYPE.fieldNames())
+def index_column(body: Column, used: set[str]) -> Column:
+    """The parsed index of a body as one struct of what the used functions read.
+
+    A deterministic Arrow UDF: any number of uses parse once, and filters on plain columns go below it. Inlines are read only
+    where an element needs them.
+    """
+    fields = {PLACES.get({"tableRow": "table", "tableCell": "table"}.get(n, n)) for n in used} | {f"all_{n}" for n in used & {"links", "images", "codeblocks"}}
+    if used & {"toc", "outline", "sections", "section", "has_section", "h1", "h2", "h3", "h4", "h5", "h6"}:
+        fields.add("headings")
+    kind = T.StructType([f for f in INDEX_TYPE if f.name in fields] or [INDEX_TYPE["headings"]])
+    names, inline = kind.fieldNames(), bool(used & INLINE)
+
+    @F.arrow_udf(kind)
+    def parsed(bodies: pa.Array) -> pa.Array:
+        rows = [parse_index(b, inline) for b in bodies.to_pylist()]
+        return pa.array([{n: r[n] for n in names} for r in rows], to_arrow_type(kind))
 
     return parsed(body)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -110,7 +111,7 @@ class Compiler:
                 return Val(self.subquery(query, scope).exists(), BOOL)
             case t.Subquery(query):
                 frame = self.subquery(query, scope)
-                return Val(frame.scalar(), frame.schema[0].dataType)
+                return Val(frame.scalar(), self.types[0])
         raise QueryError(f"Cannot use {t.label(node)} here")
 
     def name(self, name: str, scope: Scope) -> Val:
@@ -275,7 +276,8 @@ class Compiler:
             frame = frame.where(to_bool(self.expr(query.having, scope)))
         out: dict[str, Val] = {}
         for f in fields:
-            out[f.alias or t.label(f.expr)] = self.expr(f.expr, scope)
+            out[f.alias or t.label(self.with_calls(f.expr, scope))] = self.expr(f.expr, scope)
+        self.types = [v.type for v in out.values()]
         present = self.presence(fields, scope, out)
         keys, hidden = [], {}
         for i, o in enumerate(query.order):
@@ -311,8 +313,8 @@ class Compiler:
         names = t.walk(query)
         used = {n.name for n in names if isinstance(n, t.Name | t.Call)} | {n.key for n in t.walk(query) if isinstance(n, t.Get)}
         body = "body" in frame.columns
-        if body and used & content.NAMES and not ({"has_section"} >= (used & content.NAMES) and False):
-            frame = frame.withColumn(f"{HIDDEN}index", content.index_column(F.col("body"), bool(used & content.INLINE)))
+        if body and used & content.NAMES:
+            frame = frame.withColumn(f"{HIDDEN}index", content.index_column(F.col("body"), used))
         columns = {f.name: Val(quoted(f.name), f.dataType) for f in frame.schema}
         for short, full in (("_filename", "filename"), ("_path", "path"), ("_content", "body"), ("filepath", "abspath")):
             if full in columns and short not in columns:
@@ -364,6 +366,14 @@ class Compiler:
                 out.append(f)
         return out
 
+    def with_calls(self, node: t.Expr, scope: Scope) -> t.Expr:
+        """The expression with element names that stand alone as calls: ``h1`` is labelled ``h1()``."""
+        if isinstance(node, t.Name):
+            return t.Call(node.name) if scope.body and node.name in content.BARE and scope.find(node.name) is None else node
+        if isinstance(node, t.Method | t.Index | t.Get):
+            return dataclasses.replace(node, of=self.with_calls(node.of, scope)) if not (isinstance(node, t.Get) and node.of == t.Name("body")) else node
+        return node
+
     def presence(self, fields: list[t.Field], scope: Scope, out: dict[str, Val]) -> Column | None:
         """For documents: rows in which no selected field is there at all are dropped; an explicit null counts as there."""
         keys = scope.columns.get(f"{HIDDEN}keys")
@@ -414,7 +424,8 @@ class Compiler:
             made[b] = Val(quoted(f"{HIDDEN}first{i}"), v.type)
             if isinstance(b, t.Name):
                 columns[b.name] = made[b]
-        frame = frame.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias(f"{HIDDEN}n")]))
+        aggs = aggs or [F.count(F.lit(1)).alias(f"{HIDDEN}n")]
+        frame = frame.groupBy(*keys).agg(*aggs) if keys else frame.select(*aggs)  # select stays lazy about outer columns
         return frame, Scope(columns, {}, made=made, outer=scope.outer, variables=scope.variables)
 
     def bare_columns(self, needed: list[t.Expr], made: dict, scope: Scope) -> list[t.Expr]:
