@@ -123,11 +123,12 @@ class Walker:
 
     def inlines(self, lines: list[Line], ancestors: list[dict]) -> str:
         """Text of inline content; its elements are gathered."""
+        if not self.inline:
+            return ""  # headings read their titles themselves
         text = "\n".join(x.text for x in lines)
         nodes = parse_inlines(text, self.references, self.footnotes)
         whole = plain(nodes)
-        if self.inline:
-            self.gather(nodes, Places(lines), whole, ancestors)
+        self.gather(nodes, Places(lines), whole, ancestors)
         return whole
 
     def gather(self, nodes: list[Inline], places: Places, paragraph: str, ancestors: list[dict]) -> None:

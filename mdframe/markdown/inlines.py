@@ -43,6 +43,8 @@ def normal(label: str) -> str:
 
 
 def _unescape(text: str) -> str:
+    if "\\" not in text and "&" not in text:
+        return text
     import html
 
     text = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text)
