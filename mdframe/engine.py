@@ -13,6 +13,7 @@ from mdframe.lang import parse
 from mdframe.lang import tree as t
 from mdframe.lang.tokens import QueryError
 from mdframe.plans.compiler import Compiler
+from mdframe.shipping import ship
 
 
 @dataclass
@@ -45,6 +46,7 @@ class Engine:
     """Runs query texts over registered DataFrames and directories of documents."""
 
     def __init__(self, spark: SparkSession, context: dict | None = None, hooks: dict[str, Callable] | None = None) -> None:
+        ship(spark)
         self.spark = spark
         self.tables: dict[str, Table] = {}
         self.functions: dict[str, Callable[..., Column]] = {}
