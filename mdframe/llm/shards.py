@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import new_path, staged, table, tune
+from mdframe.llm.common import new_path, table, tune
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
@@ -25,7 +25,9 @@ LENGTH = 256
 STRIDE = LENGTH * 2
 SHARD_SIZE = 4096
 #: Bytes of sequences that a task gathers by shard before it compresses and sends them.
-GATHERED = 16 << 20
+GATHERED = 32 << 20
+#: Effort of zstd on tokens between stages: they are written once and read once, and disk is scarcer than CPU there.
+LEVEL = 9
 KEY = 20240607
 ROUNDS = 6
 
@@ -89,7 +91,7 @@ def _packed(rows: list[tuple]) -> bytes:
         np.array(slot, "<i8"), np.array([0 if d is None else d for d in doc], "<i8"), np.array([d is None for d in doc], "u1"),
         np.array(seq, "<i4"), np.array([len(d) // 2 for d in data], "<i4"),
     ]
-    return zstandard.compress(b"".join([x.tobytes() for x in parts] + list(data)), 3)
+    return zstandard.compress(b"".join([x.tobytes() for x in parts] + list(data)), LEVEL)
 
 
 def _unpacked(blob: bytes, n: int) -> list[tuple]:
@@ -135,13 +137,10 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     empty text is one sequence that holds the end of text; repeated rows have sequences of their own; rows with a null id come first.
     Places after a sequence's last token hold the end of text too. The last shard may be shorter.
     """
-    spark = docs.sparkSession
-    was = spark.conf.get("spark.sql.parquet.compression.codec")
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    try:
-        held = staged(_tokens(docs, key, text, path), "tokens")
-    finally:
-        spark.conf.set("spark.sql.parquet.compression.codec", was)
+    tokens = _tokens(docs, key, text, path)
+    staging = new_path(docs.sparkSession, "tokens")
+    tokens.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).parquet(staging)
+    held = docs.sparkSession.read.schema(tokens.schema).parquet(staging)
     total, before = 0, {}
     for part, k in sorted(held.groupBy("part").agg(F.sum("k")).collect()):  # a row for each partition of the input
         before[part] = total
