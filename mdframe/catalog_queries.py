@@ -15,7 +15,7 @@ from mdframe.engine import Engine
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 FLAGSHIP = (
-    "select o_orderpriority, count(*) as n, sum(o_totalprice) as total from orders where o_totalprice > 100000 "
+    "select o_orderpriority, count(*) as n, round_(sum(o_totalprice)) as total from orders where o_totalprice > 100000 "
     "group by o_orderpriority having count(*) > 1 order by o_orderpriority"
 )
 
@@ -73,7 +73,7 @@ TOC = "'[\"Order ' || o_orderkey || '\",\"Items\",\"Links\",\"Data\"]'"
 
 # name: (query, DuckDB SQL)
 CATALOG: dict[str, tuple[str, str]] = {
-    "flagship": (FLAGSHIP, "SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY 1 HAVING count(*) > 1"),
+    "flagship": (FLAGSHIP, "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY 1 HAVING count(*) > 1"),
     "select_project": ("select n_name, n_regionkey from nation", "SELECT n_name, n_regionkey FROM nation"),
     "select_star": ("select * from nation", "SELECT * FROM nation"),
     "select_bare": ("select from region", "SELECT * FROM region"),
@@ -118,8 +118,8 @@ CATALOG: dict[str, tuple[str, str]] = {
     "in_array": ('select p_partkey from words where "ring" in w', "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')"),
     "array_contains": ('select p_partkey from words where w contains "ring"', "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')"),
     "arithmetic": (
-        "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round_(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as charge, -l_quantity as minus, l_quantity / 0 as none from lineitem",
-        "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, -l_quantity AS minus, NULL::DOUBLE AS none FROM lineitem",
+        "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_extendedprice * (1 - l_discount) * (1 + l_tax) as charge, -l_quantity as minus, l_quantity / 0 as none from lineitem",
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, -l_quantity AS minus, NULL::DOUBLE AS none FROM lineitem",
     ),
     "power_mod_divide": (
         "select p_partkey, p_size % 7 as m, p_size ^ 2 as p, p_size / 4 as d, 2 ^ 3 ^ 2 as r from part",
@@ -147,8 +147,8 @@ CATALOG: dict[str, tuple[str, str]] = {
     ),
     "group_count": ("select o_orderstatus, count(*) as n from orders group by o_orderstatus", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
     "group_aggregates": (
-        "select l_returnflag, l_linestatus, sum(l_linenumber) as s, avg(l_quantity) as a, min(l_extendedprice) as lo, max(l_shipdate) as hi, count(l_tax) as c from lineitem group by l_returnflag, l_linestatus",
-        "SELECT l_returnflag, l_linestatus, sum(l_linenumber)::BIGINT AS s, avg(l_quantity) AS a, min(l_extendedprice) AS lo, max(l_shipdate) AS hi, count(l_tax) AS c FROM lineitem GROUP BY ALL",
+        "select l_returnflag, l_linestatus, sum(l_linenumber) as s, round_(avg(l_quantity)) as a, min(l_extendedprice) as lo, max(l_shipdate) as hi, count(l_tax) as c from lineitem group by l_returnflag, l_linestatus",
+        "SELECT l_returnflag, l_linestatus, sum(l_linenumber)::BIGINT AS s, round(avg(l_quantity), 2) AS a, min(l_extendedprice) AS lo, max(l_shipdate) AS hi, count(l_tax) AS c FROM lineitem GROUP BY ALL",
     ),
     "aggregate_arithmetic": (
         "select o_custkey, max(o_totalprice) - min(o_totalprice) as spread, count(*) * 2 as twice from orders group by o_custkey",
