@@ -1,27 +1,30 @@
 """URL filtering: host and path rules, and association rules mined from labels, in DataFrame operations only.
 
 FP-growth finds combinations of URL tokens that go with a label. Rules under a support or confidence are pruned, and so are those
-that a rule with fewer tokens serves as well. The rest, a bounded model, are kept in an inverted index under their rarest
-token, which each URL reads with its own tokens.
+that a rule with fewer tokens serves as well. All of the rest are kept in an inverted index under their rarest token, which each
+URL reads with its own tokens.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import table
+from mdframe.llm.common import staged, table, unstage
 
 MIN_SUPPORT = 0.004
 #: A combination of tokens is on at least so many labelled pages.
 MIN_COUNT = 8
 MIN_CONFIDENCE = 0.6
-#: Size of the model: mined rules kept, the most confident first.
-MOST_RULES = 1000
+#: Mined rules that fit in a plan as literals; more are joined.
+LITERAL_RULES = 1000
+#: Characters of joined rules up to which their index is broadcast.
+BROADCAST_CHARS = 20_000_000
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LABELS = {"=block": "block", "=allow": "allow"}
 
@@ -63,8 +66,12 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(all_of, lambda x: F.length(x) <= 80))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, label: str = "quality", support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, most: int = MOST_RULES) -> list[dict]:
-    """Pruned rules ``tokens -> block or allow`` of all labelled pages (label 0: block). No labelled page, no rule."""
+def mined_rules(pages: DataFrame, labels: DataFrame, label: str = "quality", support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """All rules ``tokens -> block or allow`` of all labelled pages (label 0: block) that no rule with fewer tokens serves as well.
+
+    A row ``(tokens, verdict, confidence, support)`` for each; no labelled page, no rule. Each level of rules with one token more looks
+    up the best confidence among its rules' proper subsets in the level below, which holds them all, as they are as frequent.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(label).alias("y"))
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").join(known, "page_id")
@@ -74,19 +81,47 @@ def mine_rules(pages: DataFrame, labels: DataFrame, label: str = "quality", supp
         shares = {r[0]: r[1] for r in rows.groupBy((F.col("y") == 0)).count().collect()}
         total = sum(shares.values())
         if not total:
-            return []
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, MIN_COUNT / total)), minConfidence=confidence).fit(baskets)
-        found = model.associationRules.where(F.get("consequent", F.lit(0)).isin(*LABELS)).where("lift > 1.0")
-        found = found.orderBy(F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(4 * most)
-        rules = [{"tokens": frozenset(r[0]), "verdict": LABELS[r[1][0]], "confidence": r[2], "support": r[4]} for r in found.select("antecedent", "consequent", "confidence", "lift", "support").collect()]
+            return pages.sparkSession.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, MIN_COUNT / total))).fit(baskets)
+        sets = staged(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     finally:
         baskets.unpersist()
-    kept: list[dict] = []
-    for rule in sorted(rules, key=lambda r: (len(r["tokens"]), -r["confidence"], sorted(r["tokens"]))):
-        if not any(k["verdict"] == rule["verdict"] and k["tokens"] < rule["tokens"] and k["confidence"] >= rule["confidence"] for k in kept):
-            kept.append(rule)
-    kept.sort(key=lambda r: (-r["confidence"], -r["support"], sorted(r["tokens"])))
-    return kept[:most]
+    block = F.array_contains("items", "=block")
+    found = sets.where(block | F.array_contains("items", "=allow")).select(
+        F.filter("items", lambda t: ~t.isin(*LABELS)).alias("tokens"), F.when(block, "block").otherwise("allow").alias("verdict"), F.col("freq").alias("both")
+    )
+    found = found.where(F.size("tokens") > 0).join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens")
+    found = found.select("tokens", "verdict", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / F.lit(total)).alias("support"))
+    found = staged(found, "url-found")
+    levels = [found.where(F.size("tokens") == 1).withColumn("below", F.lit(0.0))]
+    for size in range(2, (found.agg(F.max(F.size("tokens"))).first()[0] or 0) + 1):
+        best = levels[-1].select(F.col("tokens").alias("sub"), "verdict", F.greatest("confidence", "below").alias("best"))
+        own = found.where(F.size("tokens") == size).select("*", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("sub"))
+        own = own.join(best, ["sub", "verdict"], "left").groupBy("tokens", "verdict", "confidence", "support").agg(F.coalesce(F.max("best"), F.lit(0.0)).alias("below"))
+        levels.append(staged(own, "url-level"))
+    lift = F.col("confidence") / F.when(F.col("verdict") == "block", shares.get(True, 0) / total).otherwise(shares.get(False, 0) / total)
+    kept = reduce(DataFrame.union, levels).where((F.col("confidence") > F.col("below")) & (F.col("confidence") >= confidence) & (lift > 1.0))
+    kept = staged(kept.select("tokens", "verdict", "confidence", "support"), "url-rules")
+    for used in (sets, found, *levels[1:]):
+        unstage(used)
+    return kept
+
+
+def listed(mined: DataFrame) -> list[dict]:
+    """Mined rules on the driver, the most confident first."""
+    rules = [{"tokens": frozenset(r[0]), "verdict": r[1], "confidence": r[2], "support": r[3]} for r in mined.select("tokens", "verdict", "confidence", "support").collect()]
+    return sorted(rules, key=lambda r: (-r["confidence"], -r["support"], sorted(r["tokens"])))
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, label: str = "quality", support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> list[dict]:
+    """:func:`mined_rules` as a list."""
+    return listed(mined_rules(pages, labels, label, support, confidence))
+
+
+def _best(fits: Column, tokens: Column) -> Column:
+    """The most confident of an array of rules of which all tokens are among ``tokens``."""
+    fits = F.filter(fits, lambda r: F.forall(r["all"], lambda t: F.array_contains(tokens, t)))
+    return F.array_max(F.transform(fits, lambda r: F.struct(*[r[c].alias(c) for c in ("confidence", "support", "tokens", "verdict")])))
 
 
 def matched_rule(tokens: Column, rules: list[dict]) -> Column:
@@ -107,21 +142,46 @@ def matched_rule(tokens: Column, rules: list[dict]) -> Column:
             for r in own
         ])]
     lists = F.filter(F.transform(tokens, lambda t: F.element_at(F.create_map(*entries), t)), lambda x: x.isNotNull())
-    fits = F.filter(F.flatten(lists), lambda r: F.forall(r["all"], lambda t: F.array_contains(tokens, t)))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(*[r[c].alias(c) for c in ("confidence", "support", "tokens", "verdict")])))
-    return best
+    return _best(F.flatten(lists), tokens)
+
+
+def _joined_rules(rows: DataFrame, mined: DataFrame) -> DataFrame:
+    """``(page_id, url, m)`` of each row: rules beyond a plan's size, joined by their rarest token; ``m`` as in :func:`matched_rule`.
+
+    Repeated rows are counted before the join and dealt out again after it. Tokens of many pages meet one row of the index each.
+    """
+    used = mined.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    keyed = mined.select("*", F.explode("tokens").alias("token")).join(used, "token")
+    keyed = keyed.groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("count", "token"))["token"].alias("token"))
+    rule = F.struct("confidence", "support", F.array_join("tokens", " ").alias("tokens"), "verdict", F.col("tokens").alias("all"))
+    index = staged(keyed.groupBy("token").agg(F.collect_list(rule).alias("own")), "url-index")
+    chars = mined.agg(F.sum(F.length(F.array_join("tokens", " ")))).first()[0] or 0
+    small = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
+    host, path = host_and_path(F.col("url"))
+    each = rows.select("page_id", "url").groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("times"))
+    each = each.select("*", url_tokens(F.col("url"), host, path).alias("has")).select("*", F.explode_outer("has").alias("token"))
+    met = each.join(small(index), "token", "left").select("page_id", "url", "times", _best(F.col("own"), F.col("has")).alias("m"))
+    met = met.groupBy("page_id", "url", "times").agg(F.max("m").alias("m"))
+    return met.select("page_id", "url", "m", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
 
 
-def filter_urls(pages: DataFrame, mined: list[dict], rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, mined: list[dict] | DataFrame, rules=RULES) -> DataFrame:
     """A row for each page: ``page_id, host, path, rule, verdict, mined``. The longest fitting rule decides, else the best mined rule, else ``allow``.
 
-    Null and odd URLs have an empty host and path; repeated rows and null ids stay; other columns are ignored.
+    Null and odd URLs have an empty host and path; repeated rows and null ids stay; other columns are ignored. Up to ``LITERAL_RULES``
+    mined rules of a table become literals of the plan; more are joined.
     """
+    if isinstance(mined, DataFrame) and len(few := listed(mined.limit(LITERAL_RULES + 1))) <= LITERAL_RULES:
+        mined = few
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
+    if isinstance(mined, DataFrame):
+        rows = _joined_rules(rows, mined)
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
+    rows = rows.withColumn("host", host).withColumn("path", path)
+    if not isinstance(mined, DataFrame):
+        rows = rows.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("m", matched_rule(F.col("tokens"), mined))
     verdict, rule = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), matched_rule(F.col("tokens"), mined).alias("m"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "m")
     return rows.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.col("m")["verdict"], F.lit("allow")).alias("verdict"), F.col("m")["tokens"].alias("mined")
     )
@@ -129,4 +189,4 @@ def filter_urls(pages: DataFrame, mined: list[dict], rules=RULES) -> DataFrame:
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, mine_rules(pages, table(spark, sf_dir, "labels")))
+    return filter_urls(pages, mined_rules(pages, table(spark, sf_dir, "labels")))

@@ -1,4 +1,7 @@
-from mdframe.llm.urls import filter_urls, mine_rules
+import pytest
+
+from mdframe.llm import urls as module
+from mdframe.llm.urls import filter_urls, listed, mine_rules, mined_rules
 
 
 def pages(spark, urls):
@@ -42,3 +45,38 @@ def test_mining(spark):
     assert out.where("page_id < 30 and verdict = 'block'").count() == 30 and out.where("page_id >= 30 and verdict = 'block'").count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
     assert mine_rules(frame, labels.limit(0)) == [] and mine_rules(frame.limit(0), labels) == []
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    frame, labels = hot_site(spark)
+    return frame, mined_rules(frame, labels)
+
+
+def hot_site(spark):
+    """A third of the pages share 13 tokens, 12 of them with other pages of both labels; a smaller site has block labels only."""
+    hot = "http://a-b.own.example.org/x/y/{}.html?p=1&q=2"
+    other = ["http://a-b.example.org/x/{}?p=1", "http://own.example.org/y/{}.html?q=2"]
+    urls = [hot.format(i) for i in range(60)] + [other[i % 2].format(i) for i in range(80)] + [f"http://farm.example.org/{i}" for i in range(40)]
+    return pages(spark, urls), spark.createDataFrame([(i, int(i < 60 or i < 140 and i % 4 < 2)) for i in range(180)], "doc_id long, quality int")
+
+
+def test_rules_of_a_hot_site_leave_others(hot):
+    frame, mined = hot
+    rules = listed(mined)
+    assert (frozenset(["host:farm"]), "block") in {(r["tokens"], r["verdict"]) for r in rules}
+    for a in rules:
+        assert not any(b["verdict"] == a["verdict"] and b["tokens"] < a["tokens"] and b["confidence"] >= a["confidence"] for b in rules)
+    out = filter_urls(frame, mined)
+    assert out.where("page_id >= 140 and verdict = 'block'").count() == 40 and out.where("page_id < 60 and verdict = 'allow'").count() == 60
+
+
+@pytest.mark.parametrize("most", [module.BROADCAST_CHARS, 1])
+def test_joined_rules_equal_literals(spark, hot, monkeypatch, most):
+    frame, rules = hot
+    frame = frame.union(pages(spark, URLS + URLS)).union(pages(spark, URLS)).union(pages(spark, ["http://farm.example.org/1"] * 2).selectExpr("null", "url", "host", "tokens", "rule"))
+    want = sorted(map(tuple, filter_urls(frame, rules).collect()), key=str)
+    monkeypatch.setattr(module, "LITERAL_RULES", 0)
+    monkeypatch.setattr(module, "BROADCAST_CHARS", most)
+    out = filter_urls(frame, rules)
+    assert sorted(map(tuple, out.collect()), key=str) == want and any(r[5] for r in want) and "Python" not in out._jdf.queryExecution().toString()
