@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Each mask reads some of ``SPAN`` successive words and ignores the others; the words read are hashed. Equal hashes in a
+Each mask reads some of a few successive words and ignores the others; the words read are hashed. Equal hashes in a
 document and a benchmark item give a hit, whatever stands in the ignored places. Around each hit the two texts are laid side
 by side, and windows that hold the hit are compared word by word: enough equal words in one window make an overlap.
 """
@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from mdframe.llm.common import table
 
-SPAN = 7
-#: Places that each mask reads; five words each.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
+#: Places that each mask reads. Every window of 7 to ``WINDOW`` words with ``SHARE`` percent equal holds one of these unchanged.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 3, 5), (0, 1, 2, 5, 6), (0, 2, 3, 4, 5))
+#: The same for whole items of fewer words: up to 4 are equal in full, one word of 5 or 6 may differ.
+SHORT_MASKS = {
+    1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 2, 3),), 5: ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4)),
+    6: ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5)),
+}
 WINDOW = 12
 SHARE = 80
 #: Benchmark characters up to which its seeds are broadcast; more are joined by a shuffle.
@@ -27,38 +31,54 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeded(rows: DataFrame, key: str, text: str, names: tuple[str, str, str]) -> DataFrame:
-    """A row for each seed: ``key``, word hashes, position and seed; none below ``SPAN`` words.
+def masks_of(size: int) -> tuple:
+    """Masks of items of ``size`` words; none for an item without words."""
+    return SHORT_MASKS.get(size, ()) if size < 7 else MASKS
+
+
+def _seeded(rows: DataFrame, key: str, text: str, names: tuple[str, str, str], masks: list, own: bool = False) -> DataFrame:
+    """A row for each seed: ``key``, word hashes, position, seed and the words that its mask spans; with ``own``, only of masks for texts of that size.
 
     Words are exploded first and seeds are made of array reads beside each position, so that hashing and the probe of the
     index run in one generated loop. The explodes are outer: else Catalyst computes their inputs again in a filter below.
+    A seed is null where a place that its mask reads is beyond the text; its unread places may be.
     """
     words, pos, seed = names
     rows = rows.select(key, word_hashes(F.col(text)).alias(words)).select(key, words, F.posexplode_outer(words).alias(pos, "__w"))
-    rows = rows.where(F.col(pos) <= F.size(words) - SPAN)
-    made = [F.xxhash64(F.lit(k), *[F.get(F.col(words), F.col(pos) + o) for o in mask]) for k, mask in enumerate(MASKS)]
-    return rows.select(key, words, pos, F.explode_outer(F.array(*made)).alias(seed))
+    made = []
+    for mask in masks:
+        fits = F.col(pos) + mask[-1] < F.size(words)
+        if own:
+            sizes = [n for n in range(1, 8) if mask in masks_of(n)]
+            fits &= F.least(F.size(words), F.lit(7)).isin(*sizes)
+        hashed = F.when(fits, F.xxhash64(F.lit(repr(mask)), *[F.get(F.col(words), F.col(pos) + o) for o in mask]))
+        made.append(F.struct(hashed.alias("s"), F.lit(mask[-1] + 1).alias("span")) if own else hashed)
+    rows = rows.select(key, words, pos, F.explode_outer(F.array(*made)).alias(seed))
+    if own:
+        rows = rows.select(key, words, pos, F.col(seed)["s"].alias(seed), F.col(seed)["span"].alias("span"))
+    return rows.where(F.col(seed).isNotNull())
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, item_id, same)`` for each document and item with an overlap; ``same`` is the largest number of equal words in a window.
 
     A window is ``WINDOW`` words of the item, or the whole of a shorter item, with at least ``SHARE`` percent of its words equal to the document's
-    at the same distance. Texts of fewer than ``SPAN`` words have no seeds. Null texts count as empty; rows with a null id are left out.
+    at the same distance; words beyond the document differ. Null texts count as empty; rows with a null id are left out.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__t")).where("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("__t")).where("item_id is not null").distinct()
-    chars = items.agg(F.sum(F.length("__t"))).first()[0] or 0
+    chars, sizes = items.agg(F.sum(F.length("__t")), F.collect_set(F.least(F.size(word_hashes(F.col("__t"))), F.lit(7)))).first()
+    chars, masks = chars or 0, sorted({m for n in sizes for m in masks_of(n)}) or list(MASKS)
     small = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
-    theirs = _seeded(items, "item_id", "__t", ("iw", "ip", "seed")).select("item_id", "iw", "ip", "seed")
-    ours = _seeded(docs, "doc_id", "__t", ("dw", "dp", "seed"))
-    index = theirs.select("item_id", "ip", "seed", F.size("iw").alias("n"), F.xxhash64("iw").alias("iv")).distinct()
+    theirs = _seeded(items, "item_id", "__t", ("iw", "ip", "seed"), masks, own=True)
+    ours = _seeded(docs, "doc_id", "__t", ("dw", "dp", "seed"), masks)
+    index = theirs.select("item_id", "ip", "seed", "span", F.size("iw").alias("n"), F.xxhash64("iw").alias("iv")).distinct()
     hits = ours.join(small(index), "seed")
     words = items.select("item_id", word_hashes(F.col("__t")).alias("iw")).distinct().withColumn("iv", F.xxhash64("iw"))
     hits = hits.join(small(words), ["item_id", "iv"])
 
     size = F.least(F.lit(WINDOW), F.col("n"))
-    first = F.greatest(F.lit(0), F.col("ip") + SPAN - size)
+    first = F.greatest(F.lit(0), F.col("ip") + F.col("span") - size)
     last = F.least(F.col("ip"), F.col("n") - size)
     hits = hits.withColumn("size", size).withColumn("first", first).withColumn("last", last)
     equal = F.transform(

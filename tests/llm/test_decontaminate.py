@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 
@@ -51,3 +52,28 @@ def test_odd_documents(spark, odd, empty):
 def test_plan_is_native(spark):
     docs, items = cases(spark)
     assert "Python" not in contamination(docs, items)._jdf.queryExecution().toString() and os.sep
+
+
+def windows(doc, item):
+    """Most equal words of a window with 80 % equal at any distance, without seeds; None where there is none."""
+    size, best = min(12, len(item)), None
+    for d in range(-len(item), len(doc) + 1) if size else ():
+        same = [0 <= i + d < len(doc) and item[i] == doc[i + d] for i in range(len(item))]
+        for s in range(len(item) - size + 1):
+            n = sum(same[s : s + size])
+            best = n if n * 100 >= size * 80 and n > (best or 0) else best
+    return best
+
+
+def test_every_substitution_is_found(spark):
+    rng, items, docs = random.Random(6), [(0, [])], []
+    for n in range(1, 15):
+        items.append((n, [f"i{n}x{k}" for k in range(n)]))
+        for times in range(n - -(-n * 80 // 100) + 2 if n < 13 else 3):
+            docs += [[f"gone{k}" if k in places else w for k, w in enumerate(items[-1][1])] for places in itertools.combinations(range(n), times)]
+    docs = [[f"p{k}" for k in range(i % 3)] + d[: len(d) - (i % 5 == 1)] + [f"q{k}" for k in range(rng.randrange(3))] for i, d in enumerate(docs)]
+    docs += [items[9][1][1:] + ["q"], items[12][1][2:], items[6][1][1:], items[5][1][:-1], []]
+    want = sorted((i, n, same) for i, d in enumerate(docs) for n, item in items if (same := windows(d, item)))
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    found = decontaminate.overlaps(frame, spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 250
