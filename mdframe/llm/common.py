@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 
 from mdframe.shipping import ship
 
-ARROW_ROWS = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``."""
@@ -20,16 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts never meet in one batch by the thousand, and give workers this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Give workers this package. Arrow batches are bounded in bytes by Spark itself, so no setting of the session is touched."""
     ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local master only; on a cluster executors would write to their own disks, so it is an error.
+    """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(spark.sparkContext, "_mdframe_shared", None)
     if made is None:
         made = "file://" + tempfile.mkdtemp(prefix="mdframe-")
@@ -42,11 +43,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder that is removed when the application ends, whatever still reads it until then."""
+    path = new_path(spark, label)
+    fs, hpath = _file_system(spark, path)
+    fs.mkdirs(hpath)
+    fs.deleteOnExit(hpath)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    :func:`unstage` removes the files as soon as nothing reads them; those that a lazy result reads go when the application ends.
+    """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path = scratch(spark, label)
+    df.write.mode("overwrite").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._mdframe_path = path
     return back
@@ -55,12 +73,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def unstage(df: DataFrame | None) -> None:
     """Remove what :func:`staged` wrote, once nothing reads it any more."""
     path = getattr(df, "_mdframe_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    if path is not None:
+        fs, hpath = _file_system(df.sparkSession, path)
+        fs.delete(hpath, True)
+        fs.cancelDeleteOnExit(hpath)
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -4,10 +4,13 @@ A signature holds ``COMPONENTS`` MinHash values of ``BITS`` bits. Two signatures
 of at most ``RADIUS`` must agree, but for one component, in one of ``CHUNKS`` chunks, as ``2 * CHUNKS > RADIUS``. So each
 signature is indexed under every chunk with every single component left out; equal keys find all pairs within the radius.
 
-Keys are range-partitioned on (key, id): no key is too hot for its task, as a run of equal keys may span tasks; pieces of a cut
-run are put in one group. Within a run, signatures are compared and trees of the close pairs remain, so that a dense run of n ids
-leaves n - 1 pairs. Their components are the groups in which links are confirmed: a group's full shingle sets meet in pairs of
-blocks of bounded size, and again only trees of the confirmed links leave a block. No list of all pairs is ever formed.
+Keys are range-partitioned on (key, id): no key is too hot for its task, as a run of equal keys may span tasks. Runs of two give a
+pair; the members of longer runs, and of runs that a border of partitions may have cut, are counted by key and dealt to pairs of
+blocks of bounded size, so that each pair of a run meets in some block. There signatures are compared, and trees of the close pairs
+remain: a dense run of n ids leaves n - 1 pairs. Their components are the groups in which links are confirmed on full sets. A large
+group first meets its leader, the member nearest to the group's commonest signature, which costs one comparison a member. Members
+linked with the leader are of one component, whatever their other links; only the others still meet everyone, in pairs of blocks,
+and again only trees of the confirmed links leave a block. No list of all pairs is ever formed.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import connected_components, staged, table, tune, unstage
+from mdframe.llm.common import connected_components, is_empty, staged, table, tune, unstage
 
 COMPONENTS = 64
 BITS = 16
@@ -26,9 +29,11 @@ CHUNKS = 13
 RADIUS = 2 * CHUNKS - 1
 #: Signatures farther apart than this are not compared in full: at a similarity of 0.8 one pair in a million is.
 FARTHEST = 29
-#: Rows of a run compared at once; pieces of longer runs stay in one group, which only adds comparisons.
+#: Members of a run in a block; longer runs are dealt to all pairs of their blocks.
 LONGEST_RUN = 1024
-#: Documents of a group compared in full at once are two blocks.
+#: Rows of a run that the scan holds at once.
+HELD_ROWS = 4096
+#: Documents of a group in a block; two blocks are compared in full at once.
 BLOCK = 128
 WORDS_KEPT = 500_000
 
@@ -144,82 +149,95 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _runs_of(it, most: int):
-    """Runs of equal keys over batches of sorted rows, as (key, columns, first piece?); a longer run comes in pieces of ``most`` rows."""
-    held, going = None, None
+def _rows(kind: int, a, b) -> pa.RecordBatch:
+    a, b = (np.ascontiguousarray(x, np.int64) for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+
+def _scan(it):
+    """Of rows sorted by (key, id): pairs of whole runs of two (0), and (key, id) of all other rows that may have a partner (1).
+
+    The first and the last run of a partition may go on in its neighbours, so their rows are members whatever their number.
+    """
+    held, border = None, True  # rows of the run that is still open, and whether it began the partition
     for batch in it:
         if not len(batch):
             continue
-        cols = [c.to_numpy(zero_copy_only=False) if not pa.types.is_binary(c.type) else np.array(c.to_pylist(), object) for c in batch.columns]
+        k, i = (c.to_numpy() for c in batch.columns)
         if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        k = cols[0]
+            k, i = np.concatenate([held[0], k]), np.concatenate([held[1], i])
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         tail = starts[-1]
-        if len(starts) > 1:
-            yield starts[:-1], np.diff(starts), [c[:tail] for c in cols], going
-            going = None
-        rest = [c[tail:] for c in cols]
-        while len(rest[0]) > most:
-            piece = [c[:most] for c in rest]
-            yield np.array([0]), np.array([most]), piece, going
-            going = piece[1][0] if going is None else going
-            rest = [c[most:] for c in rest]
-        held = rest
+        sizes = np.diff(starts)
+        if len(sizes):
+            starts = starts[:-1]
+            many = sizes > 2
+            many[0] |= border
+            border = False
+            two = starts[(sizes == 2) & ~many]
+            if len(two):
+                yield _rows(0, i[two], i[two + 1])
+            more = np.repeat(many, sizes)
+            if more.any():
+                yield _rows(1, k[:tail][more], i[:tail][more])
+        held = k[tail:], i[tail:]
+        if len(held[0]) > HELD_ROWS:  # what is left of a long run is treated as a run of a border
+            yield _rows(1, *held)
+            held, border = (k[:0], i[:0]), True
     if held is not None and len(held[0]):
-        yield np.array([0]), np.array([len(held[0])]), held, going
+        yield _rows(1, *held)
+
+
+def _near(sig: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Trees of the pairs of ids within ``FARTHEST``, of each run of signatures."""
+    found = []
+    for s in range(2, 6):
+        some = starts[sizes == s]
+        for p in range(s if len(some) else 0):
+            for q in range(p + 1, s):
+                near = (sig[some + p] != sig[some + q]).sum(axis=1) <= FARTHEST
+                found.append(np.stack([ids[some + p][near], ids[some + q][near]], 1))
+    for start, size in zip(starts[sizes > 5], sizes[sizes > 5], strict=True):
+        own, some = sig[start : start + size], ids[start : start + size]
+        pairs = [np.argwhere((own[r : r + 64, None] != own[None]).sum(axis=2) <= FARTHEST) + [r, 0] for r in range(0, size, 64)]
+        x, y = np.concatenate(pairs).T
+        found.append(np.stack([some[spanning(size, x, y)], some], 1))
+    found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return np.unique(found[found[:, 0] != found[:, 1]], axis=0)
 
 
-def _rows(kind: int, a, b) -> pa.RecordBatch:
-    a, b = (np.ascontiguousarray(x, np.int64) for x in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+def _compare(it):
+    """Of rows (block, id, short signature) sorted by block: trees of the close pairs of each block."""
+    held = None
+    for batch in it:
+        if not len(batch):
+            continue
+        k, i = (batch.column(c).to_numpy() for c in (0, 1))
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+        if held is not None:
+            k, i, sig = (np.concatenate(x) for x in zip(held, (k, i, sig), strict=True))
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        found = _near(sig, i, starts[:-1], np.diff(starts))
+        if len(found):
+            yield _pairs(found)
+        held = k[starts[-1] :], i[starts[-1] :], sig[starts[-1] :]
+    if held is not None:
+        found = _near(held[2], held[1], np.array([0]), np.array([len(held[0])]))
+        if len(found):
+            yield _pairs(found)
 
 
-def _scan(it):
-    """Of rows sorted by (key, id): pairs of runs of two (0), rows of longer runs (1), both ends of the partition (2)."""
-    first = last = None
-    for starts, sizes, (k, i), going in _runs_of(it, 4096):
-        first = first or (k[0], i[0])
-        last = (k[-1], i[-1])
-        two = starts[sizes == 2] if going is None else starts[:0]
-        if len(two):
-            yield _rows(0, i[two], i[two + 1])
-        more = np.repeat(sizes > 2, sizes)
-        if going is not None:
-            more[: sizes[0]] = True
-        if more.any():
-            yield _rows(1, k[more], i[more])
-    if first:
-        yield _rows(2, [first[0], last[0]], [first[1], last[1]])
+def _pairs(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy(), pa.int64()), pa.array(found[:, 1].copy(), pa.int64())], names=["a", "b"])
 
 
-def _compare(it):
-    """Of rows of longer runs with their short signatures: trees of the pairs within ``FARTHEST`` (0), both ends of the partition (2)."""
-    first = last = None
-    for starts, sizes, (k, i, packed), going in _runs_of(it, LONGEST_RUN):
-        first = first or (k[0], i[0])
-        last = (k[-1], i[-1])
-        sig = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, COMPONENTS)
-        found = []
-        if going is not None:  # pieces of one run stay together, whatever their distances
-            found.append([[going, i[0]]])
-        for s in range(2, 6):
-            some = starts[sizes == s]
-            for p in range(s if len(some) else 0):
-                for q in range(p + 1, s):
-                    near = (sig[some + p] != sig[some + q]).sum(axis=1) <= FARTHEST
-                    found.append(np.stack([i[some + p][near], i[some + q][near]], 1))
-        for start, size in zip(starts[sizes > 5], sizes[sizes > 5], strict=True):
-            own, ids = sig[start : start + size], i[start : start + size]
-            pairs = [np.argwhere((own[r : r + 64, None] != own[None]).sum(axis=2) <= FARTHEST) + [r, 0] for r in range(0, size, 64)]
-            x, y = np.concatenate(pairs).T
-            found.append(np.stack([ids[spanning(size, x, y)], ids], 1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
-        if len(found):
-            yield _rows(0, found[:, 0], found[:, 1])
-    if first:
-        yield _rows(2, [first[0], last[0]], [first[1], last[1]])
+def _own_block(key: Column | str, blocks: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(7)), blocks)
+
+
+def _all_blocks(name: str, own: Column, blocks: Column) -> Column:
+    """Names of all pairs of blocks of ``name`` in which block ``own`` takes part; two names that collide only add comparisons."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.xxhash64(F.col(name), F.least(own, o), F.greatest(own, o)))
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,12 +254,6 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _joined_ends(rows: DataFrame) -> DataFrame:
-    """Of partitions' ends: a run that was cut, as rows (key, id) of its ends."""
-    ends = rows.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
-    return ends.join(ends.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("z")).where("first < z").drop("z"), "key")
-
-
 def similar_sets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sets with a Jaccard similarity of ``percent`` / 100 or more."""
     size = np.array([len(s) for s in sets])
@@ -268,30 +280,18 @@ def similar_sets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return i[ok], j[ok]
 
 
-def _blocks(docs: DataFrame, groups: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """Shingle sets of grouped documents, dealt to all pairs of their group's blocks."""
-    def run(it):
+def _links(docs: DataFrame, placed: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """Trees of the confirmed links among documents that share a block; ``placed`` has ``(id, at)``, the names of a document's blocks."""
+    def deal(it):
         for batch in _batches(it):
-            ids, group, blocks = (batch.column(c).to_numpy() for c in (0, 2, 3))
-            own = ((ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+            ids, at = batch.column(0).to_numpy(), batch.column(2)
             packed = pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            row = np.repeat(np.arange(len(ids)), blocks)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            row, names = np.repeat(np.arange(len(ids)), at.value_lengths().to_numpy()), at.flatten().to_numpy()
             for s in range(0, len(row), 500):
-                r, o = row[s : s + 500], other[s : s + 500]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[r]), pa.array(np.minimum(own[r], o)), pa.array(np.maximum(own[r], o)), pa.array(ids[r]), packed.take(pa.array(r))],
-                    names=["g", "i", "j", "id", "s"],
-                )
-
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").cast("binary").alias("t"))
-    rows = rows.join(groups.hint("merge"), "id").select("id", "t", "g", "blocks")
-    return rows.mapInArrow(run, "g long, i long, j long, id long, s binary")
-
+                r = row[s : s + 500]
+                yield pa.RecordBatch.from_arrays([pa.array(names[s : s + 500]), pa.array(ids[r]), packed.take(pa.array(r))], names=["block", "id", "s"])
 
-def _links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Trees of the confirmed links in each block."""
-    def run(it):
+    def confirm(it):
         held: list = []
         out: list = []
 
@@ -304,23 +304,32 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
                 out.append(np.stack([ids[root[on]], ids[on]], 1))
 
         for batch in it:
-            g, i, j, ids = (batch.column(c).to_pylist() for c in range(4))
-            for at, one, s in zip(zip(g, i, j, strict=True), ids, batch.column(4).to_pylist(), strict=True):
-                if held and held[0][0] != at:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if held and held[0][0] != row[0]:
                     close()
                     held.clear()
-                held.append((at, one, s))
+                if not held or held[-1] != row:  # repeated rows of one id count once
+                    held.append(row)
             if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
+                yield _pairs(np.unique(np.concatenate(out), axis=0))
                 out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
         close()
         if out:
-            pairs = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            yield _pairs(np.concatenate(out))
+
+    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").cast("binary").alias("t"))
+    rows = rows.join(staged(placed, "placed"), "id").select("id", "t", "at")  # written first: only a small table is sent to all tasks
+    dealt = rows.mapInArrow(deal, "block long, id long, s binary").repartition("block").sortWithinPartitions("block", "id")
+    return dealt.mapInArrow(confirm, "a long, b long")
 
-    dealt = blocks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+
+def _leaders(groups: DataFrame, named: DataFrame) -> DataFrame:
+    """``(g, leader)``: of each group the member whose signature differs least from the commonest value of each component."""
+    rows = groups.join(named, "id").select("g", "id", F.transform(F.sequence(F.lit(1), F.lit(COMPONENTS)), lambda p: F.substring("sig", p, F.lit(1))).alias("c"))
+    votes = rows.select("g", F.posexplode("c").alias("p", "x")).groupBy("g", "p", "x").count()
+    common = votes.groupBy("g", "p").agg(F.max(F.struct("count", "x"))["x"].alias("x")).groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias("m"))
+    far = F.aggregate(F.zip_with("c", "m", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
+    return rows.join(common, "g").select("g", "id", far.alias("far")).groupBy("g").agg(F.min(F.struct("far", "id"))["id"].alias("leader"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,26 +346,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     )
     keyed = _keyed(classes).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     runs = staged(keyed.mapInArrow(_scan, "kind int, a long, b long"), "runs")
-    cut = _joined_ends(runs).select("key", "id")
-    members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).union(cut).distinct()
-    twos = runs.where("kind = 0").select(F.xxhash64("a", "b").alias("key"), "a", "b").distinct()
-    twos = twos.select("key", F.explode(F.array("a", "b")).alias("id"))
+    members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+    blocks = F.ceil(F.col("n") / LONGEST_RUN).cast("long")
+    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", blocks.alias("blocks"))
+    met = members.join(counted, "key").select("id", F.explode(_all_blocks("key", _own_block("id", "blocks"), F.col("blocks"))).alias("block"))
+    twos = runs.where("kind = 0").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("id"))
     named = classes.select("id", F.substring("sig", COMPONENTS * 2 + 1, COMPONENTS).alias("sig"))
-    rows = members.union(twos).join(named, "id").select("key", "id", F.col("sig"))
-    compared = staged(
-        rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_compare, "kind int, a long, b long"), "compared"
-    )
-    near = compared.where("kind = 0").select("a", "b").union(_joined_ends(compared).select(F.col("first").alias("a"), F.col("id").alias("b")))
-    groups = staged(connected_components(near), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    grouped = groups.join(sizes, "component").select("id", F.col("component").alias("g"), "blocks")
-    links = staged(_links(_blocks(docs, grouped, size, key, text), percent), "links")
-    joined = connected_components(links)
-    for used in (runs, compared):
-        unstage(used)
+    rows = met.unionByName(twos).join(named, "id").select("block", "id", "sig")
+    near = staged(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long"), "near")
+    unstage(runs)
+    groups = staged(connected_components(near).select("id", F.col("component").alias("g")), "groups")
+    unstage(near)
+
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = staged(groups.join(sizes.where(F.col("n") > BLOCK), "g"), "large")
+    placed = groups.join(large.select("g").distinct(), "g", "left_anti").select("id", F.array(F.xxhash64("g")).alias("at"))
+    if not is_empty(large):
+        # in blocks of its own members, each with the leader; the leader is in all of them
+        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+        own = large.join(_leaders(large.select("g", "id"), named), "g").select("id", "g", "leader", blocks.alias("blocks"))
+        first = F.when(F.col("id") == F.col("leader"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.xxhash64("g", o)))
+        led = placed.unionByName(own.select("id", first.otherwise(F.array(F.xxhash64("g", _own_block("id", "blocks")))).alias("at")))
+        links = staged(_links(docs, led, size, percent, key, text), "links")
+        joined = staged(connected_components(links).withColumnRenamed("component", "c"), "joined")
+        # members outside the largest component of their group meet everyone in it
+        parts = large.join(joined, "id", "left").select("g", "id", F.coalesce("c", "id").alias("c"))
+        most = parts.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("n"))
+        parts = parts.join(most.where("n > most.m"), "g").select("g", "id", (F.col("c") == F.col("most.c")).alias("main"), F.col("most.m").alias("m"), (F.col("n") - F.col("most.m")).alias("r"))
+        mains, rest = (F.greatest(F.ceil(F.col(x) / BLOCK), F.lit(1)).cast("long") for x in ("m", "r"))
+        with_main = lambda o, k: F.xxhash64(F.col("g"), F.lit("main"), o, k)
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        parts = parts.select("g", "id", "main", mains.alias("mains"), rest.alias("rest"))
+        parts = parts.withColumn("own", F.when(F.col("main"), _own_block("id", "mains")).otherwise(_own_block("id", "rest")))
+        at = F.when(F.col("main"), F.transform(upto(F.col("rest")), lambda o: with_main(o, F.col("own")))).otherwise(
+            F.concat(F.transform(upto(F.col("mains")), lambda k: with_main(F.col("own"), k)), _all_blocks("g", F.col("own"), F.col("rest")))
+        )
+        more = staged(_links(docs, parts.select("id", at.alias("at")), size, percent, key, text), "links")
+        joined = connected_components(links.union(more))
+        unstage(more)
+    else:
+        links = staged(_links(docs, placed, size, percent, key, text), "links")
+        joined = connected_components(links)
 
     found = classes.select("digest", F.col("id").alias("rep")).join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     found = staged(found.select("digest", F.coalesce("component", "rep").alias("c")), "found")
+    for used in (classes, groups, large, links):
+        unstage(used)
     out = signed.join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select(
@@ -365,10 +400,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component of ``docs``, the smallest id, with all its columns; rows without an id stay."""
-    kept = near_duplicates(docs, size, percent).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
+    """One row of each component of ``docs``, the smallest id, with all its columns; rows without an id stay.
+
+    Of rows that share the kept id, as one document, the one with the smallest hash of its text, then of its columns, stays, so that a repeated
+    task keeps the same. Ids are settled first and written; texts move only where those ids are too many to be sent to each task.
+    """
+    found = near_duplicates(docs, size, percent)
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = staged(ids.where("not kept or n > 1"), "odd-ids")
+    alone = docs.join(odd.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    again = docs.join(odd.where("kept").select("doc_id"), "doc_id").select(docs.columns)
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*plain))).alias("__row"))
+    return alone.union(again.select("__row.*"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

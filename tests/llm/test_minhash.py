@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from mdframe.llm import minhash
 from mdframe.llm.common import connected_components
@@ -55,8 +57,9 @@ def test_odd_documents(odd, empty):
 
 
 def test_random_families(spark, monkeypatch):
-    """Dense families about the threshold, chains, exact copies; small blocks and runs so that every path is taken."""
+    """Dense families about the threshold, chains, exact copies; blocks and runs so small that members meet in pairs of blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "LONGEST_RUN", 8)
     rng, rows = random.Random(5), []
     for family in range(6):
         words = [f"f{family}w{rng.randrange(300)}" for _ in range(rng.choice([6, 30, 90]))]
@@ -69,6 +72,53 @@ def test_random_families(spark, monkeypatch):
     check(spark.createDataFrame(rows[:80], "doc_id long, text string"), size=5)
 
 
+def test_hot_keys_of_unrelated_texts(spark, monkeypatch):
+    """A passage in all texts gives long runs of texts that are not alike; pairs hidden in them are still found, in any order of ids."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "LONGEST_RUN", 8)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = [f"k{k}w{j}" for j in range(rng.choice([3, 12, 25, 60]))]
+        rows.append(" ".join(passage + own))
+        if k % 10 == 0:
+            rows.append(" ".join([*passage, *own, "tail"]))
+    rng.shuffle(rows)
+    got = check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6))
+    assert len({r["component_id"] for r in got}) > 60
+
+
+def test_scan_loses_no_pair(monkeypatch):
+    """Runs cut by batches and borders of partitions, and runs longer than a task holds."""
+    monkeypatch.setattr(minhash, "HELD_ROWS", 7)
+    rng = random.Random(2)
+    for _ in range(150):
+        rows = sorted({(rng.choice([1, 2, 3, rng.randrange(40)]), rng.randrange(60)) for _ in range(rng.randrange(1, 60))})
+        borders = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(5)))
+        pairs, members = set(), {}
+        for lo, hi in zip([0, *borders], [*borders, len(rows)], strict=True):
+            part, batches = rows[lo:hi], []
+            while part:
+                n = rng.randrange(0, 6)
+                batches.append(pa.RecordBatch.from_arrays([pa.array([r[c] for r in part[:n]], pa.int64()) for c in (0, 1)], names=["key", "id"]))
+                part = part[n:]
+            for batch in minhash._scan(iter(batches)):
+                for kind, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind:
+                        members.setdefault(a, set()).add(b)
+                    else:
+                        pairs.add((a, b))
+        pairs |= {p for ids in members.values() for p in itertools.combinations(sorted(ids), 2)}
+        assert pairs == {(a, b) for k, a in rows for q, b in rows if k == q and a < b}
+
+
+def test_one_row_of_repeated_ids(spark):
+    rows = [(1, f"text {k} of one id", k) for k in (3, 1, 2, 1)] + [(2, "another text here", 5), (None, "a", 1), (None, "a", 1)]
+    kept = [sorted(map(tuple, keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(n)).collect()), key=str) for n in (1, 3)]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2, None, None]
+
+
 def test_index_finds_all_pairs_within_the_radius():
     rng = np.random.default_rng(0)
     for _ in range(200):
