@@ -1,7 +1,11 @@
 """Chat formatting in budgeted windows, in DataFrame operations only.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns that fit a budget. Every window after the first repeats the
-system turn and a limited history; loss spans cover the assistant turns that are a window's own, so each counts once.
+Prefix sums of turn tokens put every turn on a line; the line is cut at fixed lengths, and a turn belongs to the span in which it ends,
+so that spans hold whole turns and fit a budget. Every window after the first repeats the system turn and a limited history; loss
+spans cover the assistant turns that are a window's own, so each counts once.
+
+No step holds a conversation: prefix sums are made within parts of ``PART`` turn numbers and carried over by one row a part, a turn
+finds the windows that it opens or is repeated in from its own row, and rows meet by window only, which the budget bounds.
 """
 
 from __future__ import annotations
@@ -12,10 +16,13 @@ from pyspark.sql import functions as F
 from mdframe.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Tokens of a window, estimated at four characters each and four a turn; and what repeated history may take.
+#: Tokens of a window (words in pieces of eight letters, digits by threes, other signs, and four a turn), and of these what repeated history may take.
 BUDGET = 1024
 HISTORY_TOKENS = 192
-HISTORY_TURNS = 2
+TURN_TOKENS = 4
+TOKEN = r"\p{L}{1,8}|\p{N}{1,3}|[^\p{L}\p{N}\x20\x09-\x0D]"
+#: Turn numbers of a part.
+PART = 256
 
 
 def escape(text: Column) -> Column:
@@ -37,47 +44,79 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
 
 
-def format_windows(rows: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS) -> DataFrame:
+def _window(start: Column, tokens: Column, length: Column, small: Column) -> Column:
+    """Number of the window of a turn that begins at ``start`` of the line: two for each length of the line, of which the first is for a turn
+    that is not small and crosses into that length, so that it stands alone."""
+    place = F.floor((start + tokens - 1) / length)
+    alone = (F.floor(start / length) < place) & (tokens > small)
+    return (2 * place + F.when(alone, 0).otherwise(1)).cast("long")
+
+
+def format_windows(rows: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """Windows ``(conv_id, window, repeated, text, loss)`` of conversations ``(conv_id, turn, role, text)``.
 
-    ``text`` is the formatted window, ``repeated`` its number of leading turns that were in an earlier window, ``loss`` an array of (start,
-    length) in code points of ``text`` over its own assistant turns. Turns are in order of turn, then role and text;
-    null roles and texts count as empty; repeated rows are turns of their own, and a null id is a conversation like any other.
-    A turn larger than the budget has a window for itself. Other columns are ignored.
+    ``text`` is the formatted window, ``repeated`` its number of leading turns that were in an earlier window (the system turn, and of the two
+    turns before the window those that fit ``history_tokens``), ``loss`` an array of (start, length) in code points of ``text`` over its own assistant
+    turns. ``window`` grows along a conversation, with gaps. Turns are in order of turn, then role and text; null roles and texts count as empty;
+    repeated rows are turns of their own, and a null id is a conversation like any other. System turn, history and own turns fit the
+    budget, but at least half of it is for own turns, however long the system turn, and a turn too long for that has a window for
+    itself. Other columns are ignored; an empty table has no windows.
     """
     rows = rows.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
+        "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.floor(F.col("turn").cast("long") / PART), F.lit(-(2**62))).alias("part"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
+    )
+    rows = rows.withColumn("tokens", (F.regexp_count("body", F.lit(TOKEN)) + TURN_TOKENS).cast("long"))
+    order, whole = Window.partitionBy("c", "part").orderBy("turn", "role", "body"), Window.partitionBy("c", "part")
+    rows = rows.select(
+        "*", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(order).alias("n"),
+        F.sum("tokens").over(whole).alias("part_tokens"), F.lead("tokens", 1).over(order).alias("next1"), F.lead("tokens", 2).over(order).alias("next2"),
+    )
+    # a row for each part: what is before it, the first turn of the conversation, and the tokens of the two turns after it
+    along = Window.partitionBy("c").orderBy("part")
+    heads = F.filter(F.array("tokens", "next1"), lambda x: x.isNotNull())
+    parts = rows.where("n = 1").select("c", "part", "part_tokens", heads.alias("heads"), F.struct("role", "tokens", "body").alias("turn1"))
+    none = F.array().cast("array<bigint>")
+    parts = parts.select(
+        "c", "part", F.coalesce(F.sum("part_tokens").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.first("turn1").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("opening"), (F.row_number().over(along) == 1).alias("opens"),
+        F.concat(F.coalesce(F.lead("heads", 1).over(along), none), F.coalesce(F.lead("heads", 2).over(along), none)).alias("after"),
+    )
+    turns = rows.drop("part_tokens").join(parts, ["c", "part"])
+    system = F.col("opening")["role"] == "system"
+    reserved = F.when(system, F.col("opening")["tokens"]).otherwise(F.lit(0))
+    own = F.greatest(F.lit(budget // 2), F.lit(budget - history_tokens) - reserved, F.lit(1))
+    after = lambda k: F.get("after", F.lit(k))
+    turns = turns.select(
+        "conv_id", "role", "body", "tokens", (F.col("before") + F.col("upto")).alias("place"), (F.col("opens") & (F.col("n") == 1) & system).alias("is_system"),
+        F.when(system, F.col("opening")).alias("system"), reserved.alias("reserved"), F.floor(own / 8).alias("small"), (own - F.floor(own / 8)).alias("length"),
+        F.coalesce("next1", after(0)).alias("next1"), F.when(F.col("next1").isNull(), after(1)).otherwise(F.coalesce("next2", after(0))).alias("next2"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
-    rows = rows.withColumn("tokens", F.ceil(F.length("body") / 4) + 4).withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("upto", "tokens", "role", "body"))).alias("t"))
-    system = F.when(F.get("t", F.lit(0))["role"] == "system", F.get("t", F.lit(0))["tokens"]).otherwise(F.lit(0))
-    turns = turns.withColumn("s", system).withColumn("later", F.greatest(F.lit(1), F.lit(budget - history_tokens) - F.col("s")))
-    # starts of windows: a window ends before the turn whose prefix sum goes over its room
-    fold = F.aggregate(
-        F.sequence(F.lit(0), F.size("t") - 1),
-        F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("base"), F.lit(budget).cast("long").alias("room")),
-        lambda a, i: F.when(
-            (i > F.element_at(a["starts"], -1)) & (F.get("t", i)["upto"] - a["base"] > a["room"]),
-            F.struct(F.array_append(a["starts"], i).alias("starts"), (F.get("t", i)["upto"] - F.get("t", i)["tokens"]).alias("base"), F.col("later").cast("long").alias("room")),
-        ).otherwise(a),
-        lambda a: a["starts"],
+    end = F.col("place") - F.col("reserved")
+    window = lambda start, tokens: _window(start, tokens, F.col("length"), F.col("small"))
+    turns = turns.select(
+        "*", F.when(F.col("is_system"), F.lit(1).cast("long")).otherwise(window(end - F.col("tokens"), F.col("tokens"))).alias("w"),
+        window(end, F.col("next1")).alias("w1"), window(end + F.col("next1"), F.col("next2")).alias("w2"),
+    )
+    # a turn is shown in its own window; before the next turn's, if that is another; and before the one after that, together with the next turn
+    place = lambda w, kind, turn=None: F.struct(w.alias("window"), F.lit(kind).alias("kind"), (F.col("role") if turn is None else turn["role"]).alias("role"), (F.col("body") if turn is None else turn["body"]).alias("body"))
+    opens1, opens2 = F.col("w1") != F.col("w"), F.col("w2") != F.col("w1")
+    shown = F.array(
+        place(F.col("w"), 2),
+        F.when(opens1 & F.col("system").isNotNull(), place(F.col("w1"), 0, F.col("system"))),
+        F.when(opens1 & ~F.col("is_system") & (F.col("tokens") <= history_tokens), place(F.col("w1"), 1)),
+        F.when(opens2 & ~F.col("is_system") & (F.col("tokens") + F.col("next1") <= history_tokens), place(F.col("w2"), 1)),
+    )
+    placed = turns.select("conv_id", "place", F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("x"))
+    windows = placed.groupBy("conv_id", F.col("x.window").alias("window")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("x.kind").alias("kind"), "place", F.col("x.role").alias("role"), F.col("x.body").alias("body")))).alias("t")
     )
-    spans = turns.select("conv_id", "t", "s", fold.alias("starts"))
-    spans = spans.select("conv_id", "t", "s", "starts", F.posexplode_outer("starts").alias("window", "lo"))
-    spans = spans.withColumn("hi", F.coalesce(F.get("starts", F.col("window") + 1), F.size("t")))
-    low = F.greatest(F.col("lo") - history_turns, F.when(F.col("s") > 0, 1).otherwise(0))
-    before = lambda i: F.get("t", i)["upto"] - F.get("t", i)["tokens"]
-    fits = F.filter(F.sequence(F.least(low, F.col("lo")), F.col("lo")), lambda i: before(F.col("lo")) - before(i) <= history_tokens)
-    spans = spans.withColumn("from", F.coalesce(F.get(fits, F.lit(0)), F.col("lo")))
-    part = lambda a, n: F.when(n > 0, F.slice("t", a + 1, n)).otherwise(F.slice("t", 1, 0))
-    again = F.concat(part(F.lit(0), F.when((F.col("s") > 0) & (F.col("lo") > 0), 1).otherwise(0)), part(F.col("from"), F.col("lo") - F.col("from")))
     shown = lambda x: F.struct(
         F.concat(F.lit(START), _escape_role(x["role"]), F.lit("\n")).alias("head"), escape(x["body"]).alias("body"), (x["role"] == "assistant").alias("target")
     )
-    windows = spans.select(
-        "conv_id", "window", F.transform(again, shown).alias("again"), F.transform(part(F.col("lo"), F.col("hi") - F.col("lo")), shown).alias("own")
+    windows = windows.select(
+        "conv_id", "window", F.transform(F.filter("t", lambda x: x["kind"] < 2), shown).alias("again"), F.transform(F.filter("t", lambda x: x["kind"] == 2), shown).alias("own")
     )
     whole = lambda x: F.concat(x["head"], x["body"], F.lit(END))
     windows = windows.select(
@@ -113,6 +152,7 @@ def read_windows(windows: DataFrame) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their windows. A digest of a whole conversation needs its text in one row; the operator itself does not."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -129,3 +169,31 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+OP5_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, len(regexp_extract_all(body, '\p{L}{1,8}|\p{N}{1,3}|[^\p{L}\p{N}\x20\x09-\x0D]')) + 4 AS n,
+         length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '[', '\b')) + length(role) - length(replace(role, chr(10), ''))
+         + length(replace(replace(replace(body, '\', '\s'), '<', '\l'), '[', '\b')) + 12 + 1 + 11 AS chars
+  FROM r),
+o AS (
+  SELECT *, row_number() OVER w AS k, sum(n) OVER w AS e, lead(n, 1) OVER w AS n1, lead(n, 2) OVER w AS n2,
+         CASE WHEN first_value(role) OVER w = 'system' THEN first_value(n) OVER w ELSE 0 END AS s, first_value(chars) OVER w AS s_chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+h AS (SELECT *, greatest(512, 1024 - 192 - s) AS own, own // 8 AS small, own - small AS l, e - s AS z, k = 1 AND s > 0 AS sys FROM o),
+v AS (
+  SELECT *, CASE WHEN sys THEN 1 ELSE 2 * ((z - 1) // l) + CASE WHEN (z - n) // l < (z - 1) // l AND n > small THEN 0 ELSE 1 END END AS w,
+         2 * ((z + n1 - 1) // l) + CASE WHEN z // l < (z + n1 - 1) // l AND n1 > small THEN 0 ELSE 1 END AS w1,
+         2 * ((z + n1 + n2 - 1) // l) + CASE WHEN (z + n1) // l < (z + n1 + n2 - 1) // l AND n2 > small THEN 0 ELSE 1 END AS w2
+  FROM h)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(body)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(body, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + CASE WHEN w1 <> w AND s > 0 THEN s_chars ELSE 0 END + CASE WHEN w1 <> w AND NOT sys AND n <= 192 THEN chars ELSE 0 END
+           + CASE WHEN w2 <> w1 AND NOT sys AND n + n1 <= 192 THEN chars ELSE 0 END)::BIGINT AS formatted_chars
+FROM v GROUP BY conv_id
+"""

@@ -22,6 +22,11 @@ def sample_ids(labels: DataFrame, label: str, folds: int, fold: int, most: int)
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def with_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` rows of the sampled ids. The ids are bounded by the sample, hence the broadcast."""
-    return docs.join(F.broadcast(ids), "doc_id")
+def with_rows(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each sampled id, with ``y``: of rows that share an id the one with the smallest hash of its text.
+
+    The ids are bounded by the sample, hence the broadcast.
+    """
+    own = [c for c in docs.columns if c != "doc_id"]
+    met = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*own, "y"), F.xxhash64(text)).alias("__row"))
+    return met.select("doc_id", "__row.*")

@@ -28,13 +28,13 @@ _letter = regex.compile(r"\p{L}").search
 
 
 def windows_of(raw: bytes) -> np.ndarray:
-    """A text's bytes as rows of ``WINDOW``; the last row ends with the text, and a short text is padded with spaces."""
+    """All of a text's bytes as rows of ``WINDOW``; the last row ends with the text, and a short text is padded with spaces."""
     if len(raw) <= WINDOW:
         raw = raw.ljust(WINDOW, b" ")
     flat = np.frombuffer(raw, np.uint8)
     full = len(flat) // WINDOW
     rows = flat[: full * WINDOW].reshape(full, WINDOW)
-    return np.vstack([rows, flat[-WINDOW:][None]]) if len(flat) % WINDOW >= 16 else rows
+    return np.vstack([rows, flat[-WINDOW:][None]]) if len(flat) % WINDOW else rows
 
 
 class ByteNetwork:
@@ -142,40 +142,77 @@ class ByteNetwork:
 
 
 def fit_languages(docs: DataFrame, most: int = FIT_ROWS) -> ByteNetwork | None:
-    """Train on at most ``most`` rows outside the held-out fold with a language and a letter; None if there are none."""
+    """Train on at most ``most`` rows outside the held-out fold with a language and a letter; None if there are none.
+
+    Rows are chosen by a hash of id, language and text, so equal rows count once. Windows are cut where the texts are: ``FIT_WINDOWS`` of
+    each row, chosen by the hash, reach the driver, whatever the texts' length.
+    """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id", FOLDS, FOLD))
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id").distinct()
-    picked = rows.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").select("text", "lang").collect()
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "lang", "text").alias("k"), "lang", "text")
+    chosen = rows.select("h", "k").distinct().orderBy("h", "k").limit(most)
+
+    def cut(it):
+        for batch in it:
+            out = []
+            for k, lang, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                w = windows_of(text.encode("utf-8", "replace"))
+                some = np.random.default_rng(k & (1 << 63) - 1).choice(len(w), min(FIT_WINDOWS, len(w)), replace=False)
+                out += [(k, lang, n, w[i].tobytes()) for n, i in enumerate(some)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("k", "lang", "n", "w"), r, strict=True)) for r in out], pa.schema([("k", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("w", pa.binary())]))
+
+    met = rows.join(F.broadcast(chosen), ["h", "k"]).select("k", "lang", "text")
+    picked = sorted(met.mapInArrow(cut, "k long, lang string, n int, w binary").distinct().collect())
     if not picked:
         return None
     classes = sorted({r[1] for r in picked})
-    rng = np.random.default_rng(5)
-    x, y = [], []
-    for text, lang in picked:
-        w = windows_of(text.encode("utf-8", "replace"))
-        for k in rng.choice(len(w), min(FIT_WINDOWS, len(w)), replace=False):
-            x.append(w[k])
-            y.append(classes.index(lang))
     net = ByteNetwork(classes)
-    net.fit(np.stack(x), np.array(y))
+    net.fit(np.frombuffer(b"".join(r[3] for r in picked), np.uint8).reshape(-1, WINDOW), np.array([classes.index(r[1]) for r in picked]))
     return net
 
 
+def predict_texts(texts: list[str | None], net: ByteNetwork | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text; windows of many texts go through the network together, a bounded number at a time."""
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    if net is None:
+        return lang, score
+    totals, counts = np.zeros((len(texts), len(net.classes))), np.zeros(len(texts), int)
+    held: list[tuple[int, np.ndarray]] = []
+    waiting = 0
+
+    def run():
+        out = net.log_probabilities(np.concatenate([w for _, w in held]))
+        np.add.at(totals, np.repeat([k for k, _ in held], [len(w) for _, w in held]), out)
+
+    for k, text in enumerate(texts):
+        if not text or not _letter(text):
+            continue
+        windows = windows_of(text.encode("utf-8", "replace"))
+        counts[k] = len(windows)
+        for s in range(0, len(windows), 4 * WINDOWS_AT_ONCE):
+            held.append((k, windows[s : s + 4 * WINDOWS_AT_ONCE]))
+            waiting += len(held[-1][1])
+            if waiting >= 4 * WINDOWS_AT_ONCE:
+                run()
+                held.clear()
+                waiting = 0
+    if held:
+        run()
+    for k in np.flatnonzero(counts):
+        mean = totals[k] / counts[k]
+        p = np.exp(mean - mean.max())
+        best = int(p.argmax())
+        lang[k], score[k] = net.classes[best], float(p[best] / p.sum())
+    return lang, score
+
+
 def predict_language(docs: DataFrame, net: ByteNetwork | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row from its whole text; ``und`` and 0 where the text is null, has no letter, or nothing was learned."""
+    """``(doc_id, lang_pred, score)`` of every row from its whole text; ``und`` and 0 where the text is null, has no letter, or nothing was learned.
+
+    All windows of a text count alike, however many; repeated rows each have their own row, and of languages that tie the first by name wins.
+    """
     def run(it):
         for batch in it:
-            lang, score = [], []
-            for t in batch.column(1).to_pylist():
-                if not t or net is None or not _letter(t):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                total = net.log_probabilities(windows_of(t.encode("utf-8", "replace"))).mean(axis=0)
-                p = np.exp(total - total.max())
-                k = int(p.argmax())
-                lang.append(net.classes[k])
-                score.append(float(p[k] / p.sum()))
+            lang, score = predict_texts(batch.column(1).to_pylist(), net)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
@@ -185,6 +222,7 @@ def predict_language(docs: DataFrame, net: ByteNetwork | None, key: str = "doc_i
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; a row for each row, whatever its id or text (see :func:`predict_language`)."""
     tune(spark)
     docs = table(spark, sf_dir, "documents")
     net = fit_languages(docs)
