@@ -166,21 +166,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, penalt
     return RuleEnsemble(list(stats), kept, intercept)
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, longer where a column, or the start of one, has it."""
+    low = [c.lower() for c in columns]
+    while any(c.startswith(name) for c in low):
+        name += "_"
+    return name
+
+
 def with_score(docs: DataFrame, model: RuleEnsemble, name: str = "score", text: str = "text") -> DataFrame:
-    """``docs`` with the score of each whole text in a new last column ``name``; a null text scores as an empty one."""
-    stats = statistics(F.col(text))
-    held = docs.select("*", F.struct(*[c.alias(f"__{k}") for k, c in stats.items()]).alias("__stats"))
-    held = held.select(*docs.columns, F.inline_outer(F.array("__stats")))  # a barrier: no filter on the score computes statistics again for each rule
-    score = model.column({k: F.col(f"__{k}") for k in stats})
+    """``docs`` with the score of each whole text in a new last column ``name``; a null text scores as an empty one.
+
+    Every row is scored on its own, repeated rows and rows that share an id too; a column of any name may be there but ``name`` itself.
+    """
+    stats, own = statistics(F.col(text)), _unused("__s", [*docs.columns, name])
+    held = docs.select("*", F.struct(*[c.alias(f"{own}{k}") for k, c in stats.items()]).alias(f"{own}all"))
+    held = held.select(*docs.columns, F.inline_outer(F.array(f"{own}all")))  # a barrier: no filter on the score computes statistics again for each rule
+    score = model.column({k: F.col(f"{own}{k}") for k in stats})
     return held.select(*[held[c] for c in docs.columns], score.alias(name))
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that score ``cut`` or more, with all their columns."""
-    return with_score(docs, model, "__quality").where(F.col("__quality") >= cut).drop("__quality")
+    name = _unused("__q", docs.columns)
+    return with_score(docs, model, name).where(F.col(name) >= cut).drop(name)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; a row for each row, whatever its id or text (see :func:`with_score`)."""
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return with_score(docs.select("doc_id", "text"), model).select(
