@@ -318,7 +318,7 @@ def _links(docs: DataFrame, placed: DataFrame, size: int, percent: int, key: str
             yield _pairs(np.concatenate(out))
 
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").cast("binary").alias("t"))
-    rows = rows.join(staged(placed, "placed"), "id").select("id", "t", "at")  # written first: only a small table is sent to all tasks
+    rows = rows.join(placed.hint("merge"), "id").select("id", "t", "at")
     dealt = rows.mapInArrow(deal, "block long, id long, s binary").repartition("block").sortWithinPartitions("block", "id")
     return dealt.mapInArrow(confirm, "a long, b long")
 
