@@ -35,6 +35,8 @@ LONGEST_RUN = 1024
 HELD_ROWS = 4096
 #: Documents of a group in a block; two blocks are compared in full at once.
 BLOCK = 128
+#: Parts to which the members of a large group are dealt where they meet what is known of their group.
+SALTS = 64
 WORDS_KEPT = 500_000
 
 _rng = np.random.default_rng(20240229)
@@ -323,13 +325,19 @@ def _links(docs: DataFrame, placed: DataFrame, size: int, percent: int, key: str
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
+def _salted(members: DataFrame, of_groups: DataFrame) -> DataFrame:
+    """Members ``(g, id, ...)`` joined to rows of large groups ``(g, ...)``, so that no group is in one task."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    return members.withColumn("salt", salt).join(of_groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"]).drop("salt")
+
+
 def _leaders(groups: DataFrame, named: DataFrame) -> DataFrame:
     """``(g, leader)``: of each group the member whose signature differs least from the commonest value of each component."""
     rows = groups.join(named, "id").select("g", "id", F.transform(F.sequence(F.lit(1), F.lit(COMPONENTS)), lambda p: F.substring("sig", p, F.lit(1))).alias("c"))
     votes = rows.select("g", F.posexplode("c").alias("p", "x")).groupBy("g", "p", "x").count()
     common = votes.groupBy("g", "p").agg(F.max(F.struct("count", "x"))["x"].alias("x")).groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias("m"))
     far = F.aggregate(F.zip_with("c", "m", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
-    return rows.join(common, "g").select("g", "id", far.alias("far")).groupBy("g").agg(F.min(F.struct("far", "id"))["id"].alias("leader"))
+    return _salted(rows, common).select("g", "id", far.alias("far")).groupBy("g").agg(F.min(F.struct("far", "id"))["id"].alias("leader"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,12 +367,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     unstage(near)
 
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    large = staged(groups.join(sizes.where(F.col("n") > BLOCK), "g"), "large")
-    placed = groups.join(large.select("g").distinct(), "g", "left_anti").select("id", F.array(F.xxhash64("g")).alias("at"))
+    large = staged(_salted(groups, sizes.where(F.col("n") > BLOCK)), "large")
+    placed = groups.join(large.select("id"), "id", "left_anti").select("id", F.array(F.xxhash64("g")).alias("at"))
     if not is_empty(large):
         # in blocks of its own members, each with the leader; the leader is in all of them
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        own = large.join(_leaders(large.select("g", "id"), named), "g").select("id", "g", "leader", blocks.alias("blocks"))
+        own = _salted(large, _leaders(large.select("g", "id"), named)).select("id", "g", "leader", blocks.alias("blocks"))
         first = F.when(F.col("id") == F.col("leader"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.xxhash64("g", o)))
         led = placed.unionByName(own.select("id", first.otherwise(F.array(F.xxhash64("g", _own_block("id", "blocks")))).alias("at")))
         links = staged(_links(docs, led, size, percent, key, text), "links")
@@ -372,7 +380,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         # members outside the largest component of their group meet everyone in it
         parts = large.join(joined, "id", "left").select("g", "id", F.coalesce("c", "id").alias("c"))
         most = parts.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("n"))
-        parts = parts.join(most.where("n > most.m"), "g").select("g", "id", (F.col("c") == F.col("most.c")).alias("main"), F.col("most.m").alias("m"), (F.col("n") - F.col("most.m")).alias("r"))
+        parts = _salted(parts, most.where("n > most.m")).select("g", "id", (F.col("c") == F.col("most.c")).alias("main"), F.col("most.m").alias("m"), (F.col("n") - F.col("most.m")).alias("r"))
         mains, rest = (F.greatest(F.ceil(F.col(x) / BLOCK), F.lit(1)).cast("long") for x in ("m", "r"))
         with_main = lambda o, k: F.xxhash64(F.col("g"), F.lit("main"), o, k)
         upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
