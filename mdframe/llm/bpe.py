@@ -255,5 +255,6 @@ def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of all documents; a row for each row (see :func:`digest_documents`)."""
     tune(spark)
     return digest_documents(table(spark, sf_dir, "documents"))

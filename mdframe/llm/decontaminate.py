@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import table
+from mdframe.llm.common import staged, table
 
 #: Places that each mask reads. Every window of 7 to ``WINDOW`` words with ``SHARE`` percent equal holds one of these unchanged.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 3, 5), (0, 1, 2, 5, 6), (0, 2, 3, 4, 5))
@@ -21,8 +21,8 @@ SHORT_MASKS = {
 }
 WINDOW = 12
 SHARE = 80
-#: Benchmark characters up to which its seeds are broadcast; more are joined by a shuffle.
-BROADCAST_CHARS = 20_000_000
+#: Benchmark characters whose seeds are broadcast at once, about a row each; a larger benchmark takes as many passes as it needs.
+BROADCAST_CHARS = 2_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -69,21 +69,27 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("__t")).where("item_id is not null").distinct()
     chars, sizes = items.agg(F.sum(F.length("__t")), F.collect_set(F.least(F.size(word_hashes(F.col("__t"))), F.lit(7)))).first()
     chars, masks = chars or 0, sorted({m for n in sizes for m in masks_of(n)}) or list(MASKS)
-    small = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
     theirs = _seeded(items, "item_id", "__t", ("iw", "ip", "seed"), masks, own=True)
     ours = _seeded(docs, "doc_id", "__t", ("dw", "dp", "seed"), masks)
     index = theirs.select("item_id", "ip", "seed", "span", F.size("iw").alias("n"), F.xxhash64("iw").alias("iv")).distinct()
-    hits = ours.join(small(index), "seed")
+    passes, hits = max(1, -(-chars // BROADCAST_CHARS)), None
+    start = F.greatest(F.col("dp") - WINDOW + 1, F.lit(0))
+    for k in range(passes):
+        part = index.where(F.pmod("seed", F.lit(passes)) == k) if passes > 1 else index
+        # of the document only the words that a window around the hit can hold go on
+        met = ours.join(F.broadcast(part), "seed").select("doc_id", "item_id", "iv", "ip", "span", "n", "dp", start.alias("from"), F.slice("dw", start + 1, F.col("dp") + WINDOW - start).alias("dw"))
+        hits = met if hits is None else hits.union(met)
     words = items.select("item_id", word_hashes(F.col("__t")).alias("iw")).distinct().withColumn("iv", F.xxhash64("iw"))
-    hits = hits.join(small(words), ["item_id", "iv"])
+    hits = hits.join(F.broadcast(words) if chars <= BROADCAST_CHARS else words, ["item_id", "iv"])
 
     size = F.least(F.lit(WINDOW), F.col("n"))
     first = F.greatest(F.lit(0), F.col("ip") + F.col("span") - size)
     last = F.least(F.col("ip"), F.col("n") - size)
     hits = hits.withColumn("size", size).withColumn("first", first).withColumn("last", last)
+    place = lambda i: i + F.col("dp") - F.col("ip") - F.col("from")
     equal = F.transform(
         F.sequence(F.col("first"), F.col("last") + F.col("size") - 1),
-        lambda i: F.when(F.get(F.col("iw"), i) == F.when(i + F.col("dp") - F.col("ip") >= 0, F.get(F.col("dw"), i + F.col("dp") - F.col("ip"))), 1).otherwise(0),
+        lambda i: F.when(F.get(F.col("iw"), i) == F.when(place(i) >= 0, F.get(F.col("dw"), place(i))), 1).otherwise(0),
     )
     hits = hits.select("doc_id", "item_id", "size", (F.col("last") - F.col("first")).alias("shifts"), equal.alias("e"))
     best = F.array_max(
@@ -111,32 +117,32 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without an overlap, with all their columns; rows with a null id stay."""
-    return docs.join(overlaps(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` without an overlap, with all their columns; rows with a null id stay.
+
+    The ids found are written first, so that texts move only where those are too many to be sent to each task.
+    """
+    found = staged(overlaps(docs, items).select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with all items; a row for each row (see :func:`contamination`)."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: All alignments of a document and an item that share a word, without seeds.
 OP6_SQL = r"""
-WITH d0 AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+WITH d0 AS (SELECT DISTINCT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
 i0 AS (SELECT DISTINCT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
-m(k, a, b, c, d, e) AS (VALUES (0, 0, 1, 2, 3, 4), (1, 0, 1, 3, 4, 6), (2, 0, 2, 3, 5, 6)),
-d1 AS (SELECT doc_id, unnest(range(0, len(w) - 6)) AS p, w FROM d0),
-i1 AS (SELECT item_id, unnest(range(0, len(w) - 6)) AS p, w FROM i0),
-ds AS (SELECT doc_id, p, k, w[p + a + 1] AS a, w[p + b + 1] AS b, w[p + c + 1] AS c, w[p + d + 1] AS d, w[p + e + 1] AS e FROM d1, m),
-bs AS (SELECT item_id, p, k, w[p + a + 1] AS a, w[p + b + 1] AS b, w[p + c + 1] AS c, w[p + d + 1] AS d, w[p + e + 1] AS e FROM i1, m),
-h AS (SELECT DISTINCT doc_id, item_id, ds.p AS dp, bs.p AS ip FROM ds JOIN bs USING (k, a, b, c, d, e)),
-v AS (
-  SELECT h.doc_id, h.item_id, dp, ip, d0.w AS dw, i0.w AS iw, least(12, len(i0.w)) AS size,
-         unnest(range(greatest(0, ip + 7 - least(12, len(i0.w))), least(ip, len(i0.w) - least(12, len(i0.w))) + 1)) AS s
-  FROM h JOIN d0 USING (doc_id) JOIN i0 USING (item_id)),
-o AS (
-  SELECT doc_id, item_id, size,
-         len(list_filter(range(s, s + size), lambda i: i + dp - ip >= 0 AND iw[i + 1] = dw[greatest(0, i + dp - ip) + 1])) AS same
-  FROM v),
-f AS (SELECT doc_id, item_id, max(same) AS same FROM o WHERE same * 100 >= size * 80 GROUP BY 1, 2),
+dw AS (SELECT doc_id, d, unnest(w) AS x, unnest(range(len(w))) AS p FROM (SELECT *, row_number() OVER () AS d FROM d0)),
+iw AS (SELECT item_id, i, unnest(w) AS x, unnest(range(len(w))) AS q, len(w) AS n, least(12, len(w)) AS size FROM (SELECT *, row_number() OVER () AS i FROM i0)),
+e AS (SELECT doc_id, d, item_id, i, p - q AS away, q, n, size FROM dw JOIN iw USING (x)),
+a AS (SELECT d, i, away FROM e GROUP BY d, i, away, size HAVING count(*) * 100 >= size * 80),
+c AS (
+  SELECT doc_id, item_id, size, greatest(count(*) OVER (PARTITION BY d, i, away ORDER BY q RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING),
+         count(*) FILTER (q >= n - size) OVER (PARTITION BY d, i, away)) AS same
+  FROM e SEMI JOIN a USING (d, i, away)),
+f AS (SELECT doc_id, item_id, max(same) AS same FROM c WHERE same * 100 >= size * 80 GROUP BY 1, 2),
 g AS (SELECT doc_id, count(*) AS n, min(item_id) AS first_item, max(same) AS same FROM f GROUP BY 1)
 SELECT d.doc_id, g.n IS NOT NULL AS contaminated, coalesce(g.n, 0)::BIGINT AS n_items, g.first_item, coalesce(g.same, 0)::INTEGER AS same
 FROM documents d LEFT JOIN g USING (doc_id)

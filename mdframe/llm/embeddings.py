@@ -58,6 +58,7 @@ def places(unit: np.ndarray, pivots: np.ndarray, cosine: float, radius: np.ndarr
 
 def join_block(ids, weights, vectors, left, right, cosine: float):
     """Links between ``left`` rows (at home) and ``right`` rows of a block: weighted counts of left rows, and (id, root) trees."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])  # powers of two: no digit changes, and no product overflows
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     single = unit.astype("f4")
     x, y = np.flatnonzero(left), np.flatnonzero(right)
@@ -196,7 +197,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
         .select("d", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "id").alias("c")),
         "known",
     )
-    unstage(found)
+    for used in (found, classes):
+        unstage(used)
     out = given.select("id", "d").join(known, "d", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(
@@ -206,5 +208,6 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors; a row for each row (see :func:`near_vectors`)."""
     tune(spark)
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)

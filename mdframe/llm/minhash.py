@@ -424,5 +424,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under four-word shingles; a row for each row (see :func:`near_duplicates`)."""
     tune(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)

@@ -53,6 +53,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_embedding_near_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_chat_formatting": chat.OP5_SQL,
+        "op1_url_filters": urls.OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_chat_formatting": chat.OP5_SQL,
         "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     }

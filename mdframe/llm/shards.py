@@ -17,13 +17,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import new_path, table, tune
+from mdframe.llm.common import new_path, scratch, table, tune
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
 LENGTH = 256
 STRIDE = LENGTH * 2
 SHARD_SIZE = 4096
+#: Shards that a task writes, at most.
+SHARDS_A_TASK = 64
 #: Bytes of sequences that a task gathers by shard before it compresses and sends them.
 GATHERED = 32 << 20
 #: Effort of zstd on tokens between stages: they are written once and read once, and disk is scarcer than CPU there.
@@ -138,8 +140,8 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     Places after a sequence's last token hold the end of text too. The last shard may be shorter.
     """
     tokens = _tokens(docs, key, text, path)
-    staging = new_path(docs.sparkSession, "tokens")
-    tokens.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).parquet(staging)
+    staging = scratch(docs.sparkSession, "tokens")
+    tokens.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).parquet(staging)
     held = docs.sparkSession.read.schema(tokens.schema).parquet(staging)
     total, before = 0, {}
     for part, k in sorted(held.groupBy("part").agg(F.sum("k")).collect()):  # a row for each partition of the input
@@ -202,7 +204,10 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
             yield close(now, rows)
 
     sequences = held.select("doc_id", "ids", "local", "part").mapInArrow(cut, "shard long, rows long, blob binary")
-    dealt = sequences.repartitionByRange("shard").sortWithinPartitions("shard")
+    # slots are a permutation of a known range, so ranges of shards need no sample of the data
+    shards = -(-total // shard_size)
+    parts = max(1, min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK))))
+    dealt = sequences.repartitionById(parts, F.floor(F.col("shard") * parts / max(1, shards)).cast("int")).sortWithinPartitions("shard")
     return dealt.mapInArrow(write, "doc_id long, seq_no int, slot long, shard long, byte_offset long, n_tokens int, tokens_sha256 string")
 
 
@@ -225,5 +230,6 @@ def read_slots(folder: str, start: int, count: int, shard_size: int = SHARD_SIZE
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents, left in the shared folder, and a row for each sequence (see :func:`write_shards`)."""
     tune(spark)
     return write_shards(table(spark, sf_dir, "documents"), new_path(spark, "shards"))

@@ -1,5 +1,4 @@
 import itertools
-import os
 import random
 
 import duckdb
@@ -27,7 +26,7 @@ def cases(spark):
     return spark.createDataFrame([(*r, "x", 1) for r in rows + rows[:2]], "doc_id long, text string, seed string, item_id int"), spark.createDataFrame([(*x, 3) for x in items], "item_id long, text string, doc_id int")
 
 
-@pytest.mark.parametrize("most", [decontaminate.BROADCAST_CHARS, 10])
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_CHARS, 600])
 def test_equals_sql(spark, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", most)
     docs, items = cases(spark)
@@ -51,7 +50,7 @@ def test_odd_documents(spark, odd, empty):
 
 def test_plan_is_native(spark):
     docs, items = cases(spark)
-    assert "Python" not in contamination(docs, items)._jdf.queryExecution().toString() and os.sep
+    assert "Python" not in contamination(docs, items)._jdf.queryExecution().toString()
 
 
 def windows(doc, item):

@@ -55,5 +55,6 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0]), (10, [-1.0, -2.0]), (11, [1.0, 2.0, 0.0]), (12, [-0.0, 1.0]), (13, [0.0, 1.0]), (None, [1.0, 2.0])]
     check(spark, rows)
+    assert [r["n_links"] for r in near_vectors(spark.createDataFrame([(1, [1e200, 2e200]), (2, [1.0, 2.0]), (3, [1e-300, 2e-300])], "vec_id long, embedding array<double>")).collect()] == [2, 2, 2]
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors(frame).collect() == []
