@@ -44,6 +44,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--color", action="store_true", default=None)
     p.add_argument("--no-color", dest="color", action="store_false")
     p.add_argument("-o", "--out")
+    p.add_argument("--parts", action="store_true", help="write a folder of part files, from the tasks that make them")
     p.add_argument("--compact", action="store_true", default=None)
     p.add_argument("--rows", type=int)
     p.add_argument("--columns")
@@ -93,8 +94,7 @@ def run(argv: list[str] | None, spark) -> int:
         if input("Change files? [y/N] ").strip().lower() not in ("y", "yes"):
             return 1
     from mdframe.engine import Engine
-    from mdframe.output import clipboard
-    from mdframe.output.formats import render
+    from mdframe.output.formats import render, write_parts
 
     if spark is None:
         from pyspark.sql import SparkSession
@@ -111,9 +111,12 @@ def run(argv: list[str] | None, spark) -> int:
             "compact": pick(a.compact, "compact", False), "most_lines": pick(a.rows, "rows", None), "spec": pick(a.columns, "columns", None),
             "trim": trim or None, "form": pick(a.title_format, "titleFormat", "upper"), "normalize": pick(a.normalize, "normalize", True), "color": header_color(a.color, config),
         }
+    if a.parts:
+        if not a.out or form not in ("csv", "json") or result.frame is None:
+            raise QueryError("--parts needs a select, --out and the format csv or json")
+        write_parts(result.frame, a.out, form)
+        return 0
     shown = render(result, form, **options)
-    if result.action and result.action[0] == "clipboard":
-        clipboard.copy(shown)
     if a.out:
         out = a.out if os.path.splitext(a.out)[1] or form == "table" else f"{a.out}.{form}"
         os.makedirs(os.path.dirname(os.path.abspath(out)), exist_ok=True)

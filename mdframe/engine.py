@@ -42,16 +42,32 @@ class QueryResult:
         return [r.asDict(recursive=True) for r in self.frame.collect()] if self.frame is not None else []
 
 
+def copy_names(result: QueryResult) -> bool:
+    """Copy a line for each row to the clipboard: its filename, else its title, else nothing."""
+    from mdframe.output import clipboard
+
+    named = [c for c in ("filename", "title") if c in result.columns]
+    rows = result.frame.select(*named).toLocalIterator() if named else ((),) * result.frame.count()
+    return clipboard.copy("\n".join(str(next((v for v in r if v), "")) for r in rows))
+
+
 class Engine:
-    """Runs query texts over registered DataFrames and directories of documents."""
+    """Runs query texts over registered DataFrames and directories of documents.
+
+    ``hooks``: ``on_before_execute(statement)``, ``on_after_read(frame)``, ``on_evaluate_value(column, name)``, ``on_before_write(row, kind)`` and
+    ``on_error({path, error, phase})`` for each file that cannot be read. ``actions`` are what a pipe calls, with the result and its arguments;
+    an unknown one changes nothing. A trigger statement holds for the default table from then on.
+    """
 
-    def __init__(self, spark: SparkSession, context: dict | None = None, hooks: dict[str, Callable] | None = None) -> None:
+    def __init__(self, spark: SparkSession, context: dict | None = None, hooks: dict[str, Callable] | None = None, actions: dict[str, Callable] | None = None) -> None:
         ship(spark)
         self.spark = spark
         self.tables: dict[str, Table] = {}
         self.functions: dict[str, Callable[..., Column]] = {}
         self.context = context or {}
         self.hooks = hooks or {}
+        self.actions = {"clipboard": copy_names} | (actions or {})
+        self.triggers: dict[str | None, list] = {}
         self.default: str | None = None
 
     def register(self, name: str, frame: DataFrame, directories: tuple[str, ...] = (), errors: DataFrame | None = None) -> None:
@@ -74,6 +90,9 @@ class Engine:
         from mdframe.sources.documents import read_documents
 
         frame, errors = read_documents(self.spark, directories, **options)
+        report = self.hooks.get("on_error")
+        for row in errors.toLocalIterator() if report else ():
+            report(row.asDict())
         self.register(name, frame, tuple(directories), errors)
         self.default = name
 
@@ -109,6 +128,8 @@ class Engine:
             case t.Pipe(inner, name, args):
                 out = self.execute(inner)
                 out.action = (name, args)
+                if name in self.actions and out.frame is not None:
+                    self.actions[name](out, *args)
                 return out
             case t.Select():
                 frame, columns = compiler.select(statement)

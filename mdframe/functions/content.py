@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,8 +9,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mdframe.functions.scalar import wildcard
+from mdframe.lang import tree as t
 from mdframe.lang.tokens import QueryError
-from mdframe.markdown.index import GREP_TYPE, INDEX_TYPE, grep_text, outline_text, parse_index
+from mdframe.markdown.index import GREP_TYPE, INDEX_TYPE, Walker, grep_text, grep_texts, outline_text, parse_index
 from mdframe.plans.values import BOOL, LONG, STRING, Val
 
 # The element functions and the field that a text argument filters; none for elements without such a field.
@@ -29,22 +29,58 @@ INLINE = frozenset("link linkRef image imageRef inlineCode em strong del break f
 PLACES = {name: f"el_{name}" for name in ELEMENT_FIELD}
 
 
-def index_column(body: Column, used: set[str]) -> Column:
-    """The parsed index of a body as one struct of what the used functions read.
+def scans_of(query: t.Select) -> dict[str, tuple]:
+    """Fields of the index that depend on arguments: each pattern that a query looks for in bodies, and each depth of an outline."""
+    out: dict[str, tuple] = {}
+    for node in t.walk(query):
+        if isinstance(node, t.Call) and node.name == "grep" and len(node.args) == 1 and isinstance(node.args[0], t.Regex):
+            out[_grep_field(node.args[0].pattern, node.args[0].flags)] = ("grep", node.args[0].pattern, node.args[0].flags)
+        elif node == t.Name("outline") or isinstance(node, t.Get) and node.key == "outline" or isinstance(node, t.Call) and node.name == "outline" and not (node.args and not isinstance(node.args[0], t.Literal)):
+            depth = int(node.args[0].value) if isinstance(node, t.Call) and node.args else 6
+            out[f"outline {depth}"] = ("outline", depth)
+    return out
 
-    A deterministic Arrow UDF: any number of uses parse once, and filters on plain columns go below it. Inlines are read only
-    where an element needs them.
+
+def _grep_field(pattern: str, flags: str) -> str:
+    return f"grep {flags} {pattern}"
+
+
+def index_column(body: Column, used: set[str], scans: dict[str, tuple] | None = None) -> Column:
+    """The parsed index of a body as one struct of what the used functions read, with the results of ``scans``.
+
+    A deterministic Arrow UDF: any number of uses parse once, patterns and outlines included, and filters on plain columns go below
+    it. Inlines are read only where an element needs them. Batches are bounded in bytes by Spark.
     """
+    scans = scans or {}
     fields = {PLACES.get({"tableRow": "table", "tableCell": "table"}.get(n, n)) for n in used} | {f"all_{n}" for n in used & {"links", "images", "codeblocks"}}
     if used & {"toc", "outline", "sections", "section", "has_section", "h1", "h2", "h3", "h4", "h5", "h6"}:
         fields.add("headings")
-    kind = T.StructType([f for f in INDEX_TYPE if f.name in fields] or [INDEX_TYPE["headings"]])
-    names, inline = kind.fieldNames(), bool(used & INLINE)
+    shown = [f for f in INDEX_TYPE if f.name in fields]
+    kind = T.StructType(shown + [T.StructField(n, GREP_TYPE if s[0] == "grep" else STRING) for n, s in scans.items()] or [INDEX_TYPE["headings"]])
+    names, inline = [f.name for f in shown], bool(used & INLINE) or any(s[0] == "grep" for s in scans.values())
+
+    def read(text: str | None) -> dict:
+        if not scans:
+            return parse_index(text, inline)
+        walker = Walker(text, inline).run() if text else None
+        out = walker.out if walker else parse_index(None)
+        extra = {}
+        for name, (what, *args) in scans.items():
+            if what == "grep":
+                extra[name] = grep_texts(walker.texts, *args) if walker else []
+            else:
+                extra[name] = outline_text([(h["level"], h["title"]) for h in out["headings"]], *args)
+        return out | extra
 
     @F.arrow_udf(kind)
     def parsed(bodies: pa.Array) -> pa.Array:
-        rows = [parse_index(b, inline) for b in bodies.to_pylist()]
-        return pa.array([{n: r[n] for n in names} for r in rows], to_arrow_type(kind))
+        columns: dict[str, list] = {f: [] for f in kind.fieldNames()}
+        for text in bodies.to_pylist():
+            row = read(text)
+            for name, values in columns.items():
+                values.append(row[name])
+        types = to_arrow_type(kind)
+        return pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in types], fields=list(types))
 
     return parsed(body)
 
@@ -88,13 +124,7 @@ def call_content(name: str, args: list[Val], index: Val, body: Val) -> Val:
         case "toc":
             return toc(index, plain)
         case "outline":
-            depth = int(plain[0]) if plain else 6
-
-            @F.pandas_udf(STRING)
-            def drawn(entries: pd.Series) -> pd.Series:
-                return pd.Series([outline_text([(e["level"], e["title"]) for e in x], depth) for x in entries], dtype=object)
-
-            return Val(drawn(toc(index, []).col), STRING)
+            return Val(index.col.getField(f"outline {int(plain[0]) if plain else 6}"), STRING)
         case "sections":
             return sections(index)
         case "section":
@@ -113,15 +143,17 @@ def call_content(name: str, args: list[Val], index: Val, body: Val) -> Val:
             place = f"all_{name}"
             return Val(index.col.getField(place), INDEX_TYPE[place].dataType)
         case "grep":
-            source, pattern = (args[0], plain[1]) if len(args) > 1 else (body, plain[0] if plain else None)
+            pattern = plain[1] if len(args) > 1 else plain[0] if plain else None
             if not isinstance(pattern, tuple):
                 raise QueryError("grep() requires a regex pattern")
+            if len(args) == 1:
+                return Val(index.col.getField(_grep_field(*pattern)), GREP_TYPE)
 
-            @F.pandas_udf(GREP_TYPE)
-            def grepped(bodies: pd.Series) -> pd.Series:
-                return pd.Series([grep_text(b, *pattern) for b in bodies], dtype=object)
+            @F.arrow_udf(GREP_TYPE)
+            def grepped(texts: pa.Array) -> pa.Array:
+                return pa.array([grep_text(x, *pattern) for x in texts.to_pylist()], to_arrow_type(GREP_TYPE))
 
-            return Val(grepped(source.col), GREP_TYPE)
+            return Val(grepped(args[0].col), GREP_TYPE)
     found = elements(index, name)
     if args:
         field = ELEMENT_FIELD[name]

@@ -271,14 +271,17 @@ def parse_index(body: str | None, inline: bool = True) -> dict:
 
 def grep_text(body: str | None, pattern: str, flags: str = "") -> list[dict]:
     """Matches of a pattern in the text of a body, with the sentence, paragraph, section and ancestors around each."""
-    if not body:
-        return []
+    return grep_texts(Walker(body, True).run().texts, pattern, flags) if body else []
+
+
+def grep_texts(texts: list[tuple], pattern: str, flags: str = "") -> list[dict]:
+    """:func:`grep_text` over the text leaves of a body that has been walked."""
     options = 0
     for f, o in (("i", re.I), ("m", re.M), ("s", re.S)):
         options |= o if f in flags else 0
     wanted = re.compile(re.sub(r"\(\?<([A-Za-z_]\w*)>", r"(?P<\1>", pattern), options)
     out = []
-    for text, point, paragraph, section, ancestors in Walker(body, True).run().texts:
+    for text, point, paragraph, section, ancestors in texts:
         for m in wanted.finditer(text):
             before = text[: m.start()]
             line = point["line"] + before.count("\n")

@@ -16,6 +16,7 @@ from mdframe.lang.tokens import QueryError
 from mdframe.plans.compiler import Scope, quoted
 from mdframe.plans.values import BOOL, DOUBLE, STRING, TIME, Val, to_bool, to_number, to_text, to_time
 
+CHANGED, OLD = "__changed", "__old"
 IMMUTABLE = ("createdAt", "updatedAt")
 TARGETS = ("abspath", "path", "file", "filename", "filepath")
 
@@ -40,19 +41,44 @@ def scope_of(frame: DataFrame, **variables: Val) -> Scope:
     return Scope({f.name: Val(quoted(f.name), f.dataType) for f in frame.schema}, body="body" in frame.columns, variables=variables)
 
 
-def updated_frame(compiler, frame: DataFrame, statement: t.Update) -> DataFrame:
-    """All rows, with the assigned columns changed where the condition holds; later assignments see earlier ones."""
-    flag = "__changed"
-    out = frame.withColumn(flag, F.coalesce(to_bool(compiler.expr(statement.where, scope_of(frame))), F.lit(False)) if statement.where is not None else F.lit(True))
-    for a in statement.assigns:
-        v = converted(compiler.expr(a.expr, scope_of(out)), a.hint)
-        if a.name in out.columns:
-            kind = out.schema[a.name].dataType
+def updated_frame(compiler, frame: DataFrame, statement: t.Update, triggers: list[t.Trigger] = ()) -> DataFrame:
+    """All rows, with the assigned columns changed where the condition holds; later assignments see earlier ones, triggers see all."""
+    test = F.coalesce(to_bool(compiler.expr(statement.where, scope_of(frame))), F.lit(False)) if statement.where is not None else F.lit(True)
+    out = frame.select("*", test.alias(CHANGED), *([F.struct(*[quoted(c) for c in frame.columns]).alias(OLD)] if triggers else []))
+    out = assigned(compiler, out, statement.assigns, quoted(CHANGED), lambda f: scope_of(f))
+    return fired(compiler, out, triggers, frame).drop(OLD)
+
+
+def assigned(compiler, frame: DataFrame, assigns, test, scope) -> DataFrame:
+    """A frame with columns set where ``test`` holds; ``scope`` of the frame so far says what names mean."""
+    for a in assigns:
+        v = converted(compiler.expr(a.expr, scope(frame)), a.hint)
+        if a.name in frame.columns:
+            kind = frame.schema[a.name].dataType
             new = v.col.cast(kind) if v.is_null or v.type != kind and not (v.is_array and isinstance(kind, T.ArrayType)) else v.col
-            out = out.withColumn(a.name, F.when(quoted(flag), new).otherwise(quoted(a.name)))
+            frame = frame.withColumn(a.name, F.when(test, new).otherwise(quoted(a.name)))
         else:
-            out = out.withColumn(a.name, F.when(quoted(flag), v.col))
-    return out
+            frame = frame.withColumn(a.name, F.when(test, v.col))
+    return frame
+
+
+def fired(compiler, frame: DataFrame, triggers: list[t.Trigger], before: DataFrame | None) -> DataFrame:
+    """What triggers make of changed rows (``CHANGED``) whose old state is in ``OLD``: one that denies raises its message if any row meets it."""
+    own = lambda f: [x for x in f.schema if x.name not in (CHANGED, OLD)]
+
+    def scope(f: DataFrame) -> Scope:
+        new = Val(F.struct(*[quoted(x.name) for x in own(f)]), T.StructType(own(f)))
+        old = Val(F.col(OLD), T.StructType(before.schema.fields)) if before is not None else Val(F.lit(None), T.NullType())
+        return scope_of(f, old=old, new=new)
+
+    for trigger in triggers:
+        meets = F.coalesce(to_bool(compiler.expr(trigger.where, scope(frame))), F.lit(False)) if trigger.where is not None else F.lit(True)
+        test = quoted(CHANGED) & meets
+        if trigger.deny is None:
+            frame = assigned(compiler, frame, trigger.assigns, test, scope)
+        elif frame.where(test).take(1):
+            raise QueryError(trigger.deny)
+    return frame
 
 
 def trigger_frame(engine, text: str, old: DataFrame, new: DataFrame, key: str | None = None) -> DataFrame:
@@ -82,37 +108,46 @@ def trigger_frame(engine, text: str, old: DataFrame, new: DataFrame, key: str |
 
 
 def execute(engine, compiler, statement) -> QueryResult:
-    if isinstance(statement, t.Trigger):
-        raise QueryError("a trigger needs old and new rows: use trigger_frame")
     name = engine.default
+    if isinstance(statement, t.Trigger):
+        if statement.run is not None:
+            raise QueryError("trigger run commands are not supported")
+        engine.triggers.setdefault(name, []).append(statement)
+        return QueryResult("trigger")
     table = engine.table(name) if name else None
+    of = lambda event: sorted((x for x in engine.triggers.get(name, ()) if x.event == event), key=lambda x: x.timing != "before")
     match statement:
         case t.Update():
             for a in statement.assigns:
                 if a.name in IMMUTABLE:
                     raise QueryError(f"cannot update immutable field '{a.name}'")
+            changed = updated_frame(compiler, table.frame, statement, of("update"))
             if table.directories:
-                return _update_files(engine, compiler, table, statement)
-            return QueryResult("update", updated_frame(compiler, table.frame, statement).drop("__changed"))
+                return _update_files(engine, table, changed, statement)
+            return QueryResult("update", changed.drop(CHANGED))
         case t.Delete():
             if statement.where is None:
                 raise QueryError("delete requires a where clause")
             test = F.coalesce(to_bool(compiler.expr(statement.where, scope_of(table.frame))), F.lit(False))
+            if of("delete"):  # the new row of a deletion is the old one; only denials have a meaning
+                gone = table.frame.where(test).select("*", F.lit(True).alias(CHANGED), F.struct(*[quoted(c) for c in table.frame.columns]).alias(OLD))
+                fired(compiler, gone, [x for x in of("delete") if x.deny is not None], table.frame)
             if table.directories:
-                return _delete_files(table, test, statement)
+                return _delete_files(engine, table, test, statement)
             return QueryResult("delete", table.frame.where(~test))
         case t.Create():
             if table is not None and not table.directories:
-                return _create_row(compiler, table, statement)
-            return _create_file(engine, compiler, table, statement)
+                return _create_row(compiler, table, statement, of("create"))
+            return _create_file(engine, compiler, table, statement, of("create"))
     raise QueryError(f"Unexpected token in statement: {statement}")
 
 
-def _create_row(compiler, table, statement: t.Create) -> QueryResult:
+def _create_row(compiler, table, statement: t.Create, triggers: list[t.Trigger]) -> QueryResult:
     one = table.frame.sparkSession.range(1)
     values = {a.name: converted(compiler.expr(a.expr, Scope({})), a.hint) for a in statement.assigns}
     row = one.select(*[(values[f.name].col if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.frame.schema])
-    return QueryResult("create", table.frame.unionByName(row), created=1)
+    row = fired(compiler, row.withColumn(CHANGED, F.lit(True)), triggers, None).drop(CHANGED)
+    return QueryResult("create", table.frame.unionByName(row, allowMissingColumns=True), created=1)
 
 
 def _no_match(where: t.Expr | None) -> QueryError:
@@ -121,42 +156,56 @@ def _no_match(where: t.Expr | None) -> QueryError:
     return QueryError("no files matched the query")
 
 
-def _update_files(engine, compiler, table, statement: t.Update) -> QueryResult:
-    from mdframe.sources.documents import own_fields, write_document
+def _settled(engine, frame: DataFrame) -> DataFrame:
+    """Rows that stay as they are while their files change. Where executors may be lost they go to the checkpoint folder, as a repeated task
+    would read files that it has changed."""
+    context = engine.spark.sparkContext
+    if context.getCheckpointDir() is None and context.getConf().get("spark.checkpoint.dir", None):
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
+    if context.getCheckpointDir() is not None:
+        return frame.checkpoint()
+    if not context.master.startswith("local"):
+        raise QueryError("set spark.checkpoint.dir to change files on a cluster")
+    return frame
+
 
-    frame = table.frame
-    changed = updated_frame(compiler, frame, statement).where("__changed")
-    names = own_fields(frame) + [a.name for a in statement.assigns if a.name not in frame.columns]
+def _update_files(engine, table, changed: DataFrame, statement: t.Update) -> QueryResult:
+    from mdframe.sources.documents import own_fields, write_document, write_rows
+
+    changed, frame = _settled(engine, changed.where(CHANGED)), table.frame
+    names = own_fields(frame) + [c for c in changed.columns if c not in frame.columns and c != CHANGED]
+    assigned = [a.name for a in statement.assigns] + [c for c in changed.columns if c not in frame.columns and c != CHANGED]
+    assigned += [a.name for x in engine.triggers.get(engine.default, ()) if x.event == "update" for a in x.assigns]
     hook, n = engine.hooks.get("on_before_write"), 0
-    for row in changed.toLocalIterator():
+    if hook is None:
+        n = write_rows(changed, names, assigned)
+    for row in changed.toLocalIterator() if hook else ():  # a hook is called here, with each row
         values = row.asDict(recursive=True)
-        if hook:
-            hook(values, "update")
-        present = set(values.get("__keys") or ()) | {a.name for a in statement.assigns}
-        fields = {k: values.get(k) for k in names if k in present}
-        fields["updatedAt"] = dt.datetime.now(dt.UTC)
-        write_document(values["abspath"], fields, values.get("body") or "")
+        hook(values, "update")
+        present = {*(values.get("__keys") or ()), *assigned}
+        write_document(values["abspath"], {k: values.get(k) for k in names if k in present} | {"updatedAt": dt.datetime.now(dt.UTC)}, values.get("body") or "")
         n += 1
     if not n:
         raise _no_match(statement.where)
     return QueryResult("update", updated=n)
 
 
-def _delete_files(table, test, statement: t.Delete) -> QueryResult:
-    paths = [r[0] for r in table.frame.where(test).select("abspath").toLocalIterator()]
-    if not paths:
+def _delete_files(engine, table, test, statement: t.Delete) -> QueryResult:
+    from mdframe.sources.documents import remove_files
+
+    n = remove_files(_settled(engine, table.frame.where(test).select("abspath")))
+    if not n:
         raise _no_match(statement.where)
-    for path in paths:
-        os.unlink(path)
-    return QueryResult("delete", deleted=len(paths))
+    return QueryResult("delete", deleted=n)
 
 
-def _create_file(engine, compiler, table, statement: t.Create) -> QueryResult:
+def _create_file(engine, compiler, table, statement: t.Create, triggers: list[t.Trigger]) -> QueryResult:
     from mdframe.sources.documents import write_document
 
     one = engine.spark.range(1)
     values = {a.name: converted(compiler.expr(a.expr, Scope({})), a.hint) for a in statement.assigns}
-    row = one.select(*[v.col.alias(k) for k, v in values.items()]).first().asDict(recursive=True) if values else {}
+    made = fired(compiler, one.select(*[v.col.alias(k) for k, v in values.items()], F.lit(True).alias(CHANGED)), triggers, None).drop(CHANGED)
+    row = made.first().asDict(recursive=True) if values else {}
     target = next((row[k] for k in TARGETS if row.get(k)), None)
     if not target:
         raise QueryError("create requires path to file")

@@ -106,6 +106,15 @@ def write_csv(frame: DataFrame, path: str) -> None:
     frame.select(*cols).write.csv(path, header=True, escape='"')
 
 
+def write_parts(frame: DataFrame, path: str, form: str) -> None:
+    """A large result as a folder of CSV files, or of files with a JSON object a line; nothing passes through the driver."""
+    if form == "csv":
+        enforce_scalars(frame)
+        write_csv(frame, path)
+    else:
+        frame.write.json(path, ignoreNullFields=False)
+
+
 # -- tables
 
 

@@ -17,6 +17,8 @@ from mdframe.plans.values import BOOL, DOUBLE, LONG, STRING, Val, arithmetic, co
 
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 HIDDEN = "__"
+#: Bytes of a table for each core under which its rows are dealt out before a parse; larger ones have splits enough.
+SPREAD_BYTES = 64 << 20
 #: Columns that only name the document; ``*`` shows the first five.
 IDENTITY = ("filename", "path", "abspath", "filepath", "source_dir")
 LARGE = ("body", "content", "sections", "metadata", "frontmatter", "_filename", "_path", "_content")
@@ -314,7 +316,7 @@ class Compiler:
         used = {n.name for n in names if isinstance(n, t.Name | t.Call)} | {n.key for n in t.walk(query) if isinstance(n, t.Get)}
         body = "body" in frame.columns
         if body and used & content.NAMES:
-            frame = frame.withColumn(f"{HIDDEN}index", content.index_column(F.col("body"), used))
+            frame = self.spread(frame).withColumn(f"{HIDDEN}index", content.index_column(F.col("body"), used, content.scans_of(query)))
         columns = {f.name: Val(quoted(f.name), f.dataType) for f in frame.schema}
         for short, full in (("_filename", "filename"), ("_path", "path"), ("_content", "body"), ("filepath", "abspath")):
             if full in columns and short not in columns:
@@ -334,6 +336,15 @@ class Compiler:
             frame, scope = self.join(frame, scope, join)
         return frame, scope
 
+    def spread(self, frame: DataFrame) -> DataFrame:
+        """Small tables are dealt out by rows before bodies are parsed: by bytes alone they would be parsed in a task or two."""
+        if frame.isStreaming:
+            return frame
+        session = self.engine.spark
+        cores = session.sparkContext.defaultParallelism
+        size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return frame.repartition(4 * cores) if size < cores * SPREAD_BYTES else frame
+
     def join(self, left: DataFrame, scope: Scope, join: t.Join) -> tuple[DataFrame, Scope]:
         name = join.alias or join.table
         right = self.engine.table(join.table).frame
@@ -417,11 +428,15 @@ class Compiler:
             made[a] = Val(quoted(f"{HIDDEN}agg{i}"), kind)
         bare = self.bare_columns(needed, made, scope)
         tie = scope.columns.get(f"{HIDDEN}ord")
-        for i, b in enumerate(bare):
-            v = self.expr(b, scope)
-            first = F.min_by(v.col, tie.col) if tie is not None else F.first(v.col)
-            aggs.append(first.alias(f"{HIDDEN}first{i}"))
-            made[b] = Val(quoted(f"{HIDDEN}first{i}"), v.type)
+        values = [self.expr(b, scope) for b in bare]
+        if bare:
+            row = F.struct(*[v.col.alias(f"b{i}") for i, v in enumerate(values)])
+            ordered = [v.col for v in values if not isinstance(v.type, T.MapType | T.VariantType)]
+            # of documents the first; of other rows, which have no order, the least by these fields, so that a repeated task gives the same
+            least = F.min_by(row, tie.col) if tie is not None else F.min(row) if len(ordered) == len(values) else F.min_by(row, F.struct(*ordered, F.to_json(row)))
+            aggs.append(least.alias(f"{HIDDEN}first"))
+        for i, (b, v) in enumerate(zip(bare, values, strict=True)):
+            made[b] = Val(quoted(f"{HIDDEN}first").getField(f"b{i}"), v.type)
             if isinstance(b, t.Name):
                 columns[b.name] = made[b]
         aggs = aggs or [F.count(F.lit(1)).alias(f"{HIDDEN}n")]
@@ -464,7 +479,7 @@ class Compiler:
         return F.sum(number.cast("long") if whole else number.cast("double")), LONG if whole else DOUBLE
 
     def union(self, node: t.Union) -> tuple[DataFrame, list[str]]:
-        frames = [self.select(p)[0] for p in node.parts]
+        frames = [(self.union(p) if isinstance(p, t.Union) else self.select(p))[0] for p in node.parts]
         out = frames[0]
         for f in frames[1:]:
             out = out.union(f) if len(f.columns) == len(out.columns) else out.unionByName(f, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from mdframe.lang.tokens import QueryError
 
 STRING, LONG, DOUBLE, BOOL, TIME = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+# The forms of a date in text.
+DATE_TEXT = re.compile(r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$|\d{2}/\d{2}/\d{4}$|\d{4}/\d{2}/\d{2}$|\d{1,2}-\d{1,2}-\d{4}$")
 DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd", "M-d-yyyy")
 
 
@@ -197,16 +200,7 @@ def numeric_type(l: Val, r: Val, op: str) -> T.DataType:
 def arithmetic(op: str, l: Val, r: Val) -> Val:
     """Dates, then arrays as ordered sets, then text joined by ``+``, then numbers."""
     if l.is_time or r.is_time:
-        if l.is_time and r.is_time:
-            if op == "-":
-                return Val(F.unix_millis(to_time(l)) - F.unix_millis(to_time(r)), LONG)
-        elif op in ("+", "-") and l.is_time and (r.is_number or r.is_null):
-            n = r.col.cast("long")
-            ms = F.unix_millis(to_time(l))
-            return Val(F.timestamp_millis(ms + n if op == "+" else ms - n), TIME)
-        elif op == "+" and r.is_string or l.is_string:
-            return Val(F.concat(to_text(l), to_text(r)), STRING)
-        raise QueryError(f"Unsupported date arithmetic operator: {op}")
+        return _date_arithmetic(op, l, r)
     if l.is_array or r.is_array:
         return _set_arithmetic(op, l, r)
     if op == "+" and (l.is_string or r.is_string):
@@ -232,6 +226,24 @@ def arithmetic(op: str, l: Val, r: Val) -> Val:
     raise QueryError(f"Unsupported numeric arithmetic operator: {op}")
 
 
+def _date_arithmetic(op: str, l: Val, r: Val) -> Val:
+    """Milliseconds: a date and a number give a date, dates or date texts give their distance; ``+`` joins other text.
+
+    Text that is no date has no distance. What ``+`` does with a text column is settled by its type, so only a literal counts as a date there.
+    """
+    dated = lambda v: v.is_time or v.is_string and isinstance(v.plain, str) and bool(DATE_TEXT.match(v.plain))
+    if op == "-" and all(v.is_time or v.is_string for v in (l, r)):
+        return Val(F.unix_millis(to_time(l)) - F.unix_millis(to_time(r)), LONG)
+    if op in ("+", "-") and l.is_time and (r.is_number or r.is_null):
+        n, ms = r.col.cast("long"), F.unix_millis(to_time(l))
+        return Val(F.timestamp_millis(ms + n if op == "+" else ms - n), TIME)
+    if op == "+" and dated(l) and dated(r):
+        return Val(F.timestamp_millis(F.unix_millis(to_time(l)) + F.unix_millis(to_time(r))), TIME)
+    if op == "+" and (l.is_string or r.is_string):
+        return Val(F.concat(to_text(l), to_text(r)), STRING)
+    raise QueryError(f"Unsupported date arithmetic operator: {op}")
+
+
 def _set_arithmetic(op: str, l: Val, r: Val) -> Val:
     if op not in ("+", "-"):
         raise QueryError(f"Cannot apply {op} to arrays")

@@ -13,10 +13,17 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 FILES_A_TASK = 256
 IDENTITY = ("filename", "path", "abspath", "source_dir", "body", "content", "frontmatter", "metadata", "__keys", "__ord")
-METADATA = "struct<abspath:string,mtime:timestamp,atime:timestamp,ctime:timestamp,owner:string,group:string,size:bigint,mode:string>"
+_TEXT, _MANY = T.StringType(), T.ArrayType(T.StringType())
+METADATA = T.StructType([
+    T.StructField(name, kind) for name, kind in (
+        ("abspath", _TEXT), ("mtime", T.TimestampType()), ("atime", T.TimestampType()), ("ctime", T.TimestampType()), ("owner", _TEXT), ("group", _TEXT),
+        ("size", T.LongType()), ("mode", _TEXT),
+    )
+])
 FRONT = re.compile(r"\A﻿?---[ \t]*\r?\n(.*?)(?:\r?\n)?^---[ \t]*(?:\r?\n|\Z)", re.S | re.M)
 
 
@@ -195,7 +202,12 @@ def _parsed(text: str | None, failure: str | None) -> dict:
     return {"front": None, "keys": [], "kinds": [], "texts": [], "body": None, "content": None, "error": failure}
 
 
-READ = "abspath string, path string, filename string, source_dir string, __ord long, front string, keys array<string>, kinds array<string>, texts map<string,string>, body string, content string, error string"
+READ = T.StructType([
+    T.StructField(name, kind) for name, kind in (
+        ("abspath", _TEXT), ("path", _TEXT), ("filename", _TEXT), ("source_dir", _TEXT), ("__ord", T.LongType()), ("front", _TEXT), ("keys", _MANY), ("kinds", _MANY),
+        ("texts", T.MapType(_TEXT, _TEXT)), ("body", _TEXT), ("content", _TEXT), ("error", _TEXT), ("metadata", METADATA),
+    )
+])
 
 
 def _read_batches(it):
@@ -208,22 +220,22 @@ def _read_batches(it):
                     text = f.read()
             except OSError as e:
                 failure = str(e)
-            rows.append(r | _parsed(text, failure))
-        yield pa.RecordBatch.from_pylist(rows, _arrow(READ))
+            rows.append(r | _parsed(text, failure) | {"metadata": _metadata(r["abspath"])})
+        yield pa.RecordBatch.from_pylist(rows, _arrow())
 
 
 def _parse_batches(it):
     for batch in it:
         rows = []
         for r in batch.to_pylist():
-            text = r.pop("raw").decode("utf-8", "replace")
-            rows.append(r | _parsed(text, None))
-        yield pa.RecordBatch.from_pylist(rows, _arrow(READ))
+            text, size, mtime = r.pop("raw").decode("utf-8", "replace"), r.pop("size"), r.pop("mtime")
+            meta = {"abspath": r["abspath"], "size": size, "mtime": mtime}  # all that a remote store tells
+            rows.append(r | _parsed(text, None) | {"metadata": meta})
+        yield pa.RecordBatch.from_pylist(rows, _arrow())
 
 
-def _arrow(schema: str) -> pa.Schema:
-    s, m = pa.string(), {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
-    return pa.schema([(name, m.get(kind, s)) for name, kind in (x.strip().split(" ", 1) for x in schema.split(", "))])
+def _arrow() -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in READ])
 
 
 def read_documents(
@@ -266,12 +278,9 @@ def read_documents(
     schema = T.StructType([T.StructField(k, T._parse_datatype_string(merged(v))) for k, v in sorted(kinds.items()) if k not in IDENTITY])
     out = good.select(
         "filename", "path", "abspath", "source_dir", "body", "content", F.col("texts").alias("frontmatter"), F.col("keys").alias("__keys"), "__ord",
-        (F.from_json("front", schema) if len(schema) else F.lit(None)).alias("__f"),
+        *(["metadata"] if stat else []), (F.from_json("front", schema) if len(schema) else F.lit(None)).alias("__f"),
     )
     cols = [F.col("__f").getField(f.name).alias(f.name) for f in schema]
-    if stat:
-        meta = F.udf(_metadata, METADATA)(F.col("abspath"))  # read only where file() is used
-        out = out.withColumn("metadata", meta)
     out = out.select(*cols, *[c for c in out.columns if c != "__f"])
     bad = raw.where("error is not null").select(F.col("abspath").alias("path"), "error", F.lit("read").alias("phase"))
     if errors:
@@ -285,7 +294,7 @@ def _remote(spark: SparkSession, root: str, depth: int, hidden: bool) -> DataFra
     rel = F.substr(F.col("path"), F.greatest(F.instr(F.col("path"), base.split("://", 1)[1].lstrip("/")), F.lit(1)) + len(base.split("://", 1)[1].lstrip("/")))
     rows = files.select(
         F.col("path").alias("abspath"), rel.alias("path"), F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("filename"), F.lit(root).alias("source_dir"),
-        F.xxhash64("path").alias("__ord"), F.col("content").alias("raw"),
+        F.xxhash64("path").alias("__ord"), F.col("content").alias("raw"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
     )
     if depth:
         rows = rows.where(F.size(F.split("path", "/")) <= depth)
@@ -302,6 +311,38 @@ def own_fields(frame: DataFrame) -> list[str]:
 # -- writing
 
 
+def write_rows(frame: DataFrame, names: list[str], assigned: list[str]) -> int:
+    """Write the document of each row back to its file, in tasks, and return their number; ``names`` are the frontmatter's fields.
+
+    Only fields that a document holds, or that are assigned, are written.
+    """
+    maps = [f.name for f in frame.schema if isinstance(f.dataType, T.MapType)]
+    kept = [c for c in frame.columns if c in ("abspath", "body", "__keys") or c in names]
+
+    def run(it):
+        for batch in it:
+            for row in batch.to_pylist():
+                row |= {k: dict(row[k]) for k in maps if row.get(k) is not None}
+                present = {*(row.get("__keys") or ()), *assigned}
+                fields = {k: row.get(k) for k in names if k in present}
+                write_document(row["abspath"], fields | {"updatedAt": dt.datetime.now(dt.UTC)}, row.get("body") or "")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return frame.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def remove_files(frame: DataFrame) -> int:
+    """Remove the file of each row, in tasks, and return their number; a file that is gone counts too."""
+    def run(it):
+        for batch in it:
+            for (path,) in zip(batch.column(0).to_pylist(), strict=True):
+                if os.path.exists(path):
+                    os.unlink(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return frame.select("abspath").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_document(path: str, fields: dict, body: str) -> None:
     """Write frontmatter as ``key: JSON`` lines and the body; null and empty values are left out. The file changes at once or not at all."""
     lines = [f"{k}: {json.dumps(plain(v), ensure_ascii=False)}" for k, v in fields.items() if v is not None and v != ""]

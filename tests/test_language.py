@@ -44,5 +44,6 @@ def test_statements():
     assert parse("select | clipboard()").name == "clipboard"
     q = parse("select a from t x left join u on x.id = u.id cross join v where a in (select b from w) group by a having count(*) > 1 order by a desc limit 2 offset 1")
     assert [j.kind for j in q.joins] == ["left", "cross"] and q.limit == 2 and q.order[0].descending
-    assert len(parse("select a union all select b union select c").parts) == 3
+    chain = parse("select a union all select b union all select c union select d")
+    assert not chain.keep_all and len(chain.parts) == 2 and chain.parts[0].keep_all and len(chain.parts[0].parts) == 3
     assert parse("select `order` from t").fields[0].expr == t.Name("order")
