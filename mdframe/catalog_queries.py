@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mdframe.catalog_files import FILES
 from mdframe.engine import Engine
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
@@ -44,6 +45,20 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A markdown document for each customer, of shapes that depend on the key: deep headings, nested lists, references, blocks of HTML."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key, name, lit = F.col("c_custkey").cast("string"), F.col("c_name"), F.lit
+    two, three = F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 3 == 0
+    part = lambda test, *text: F.when(test, F.concat(*text)).otherwise(lit(""))
+    body = F.concat(
+        lit("# "), name, lit("\n\nIntro *x* for "), name, lit(".\n\n`c"), key, lit("`\n\n- a "), key, lit("\n  - b\n    - c\n- d\n\n"),
+        part(two, lit("#### Four\n\n##### Five "), key, lit("\n\n[see][im]\n\n###### Six\n\n<section>\n"), key, lit("\n</section>\n\n")),
+        part(three, lit("![pic][im] and last words\n\n1. one\n2. two\n\n")), lit("[im]: http://i/"), key, lit(' "T"\n'),
+    )
+    return rows.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), body.alias("body"))
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine with the base tables, documents of orders, lists of lines, and nullable labels."""
     out = Engine(spark)
@@ -56,6 +71,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
         return rows.select("k", "items", F.transform("items", lambda x: x["quantity"]).alias("q"), F.transform("items", lambda x: x["flag"]).alias("flags"))
 
     out.register_lazy("docs", lambda: order_documents(spark, sf_dir))
+    out.register_lazy("notes", lambda: customer_notes(spark, sf_dir))
     out.register_lazy("lists", lists)
     out.register_lazy("marked", lambda: read("documents").select("doc_id", "lang", "source", "text").join(read("labels"), "doc_id", "left"))
     out.register_lazy("words", lambda: read("part").select("p_partkey", "p_name", F.split("p_name", " ").alias("w"), "p_brand", "p_type", "p_size"))
@@ -69,6 +85,7 @@ DOCS = (
     "'e': l_extendedprice, 'd': l_shipdate})) AS l FROM lineitem GROUP BY 1), "
     "docs AS (SELECT o.*, coalesce(l, []) AS l FROM orders o LEFT JOIN g ON o_orderkey = l_orderkey) "
 )
+NOTES = "WITH notes AS (SELECT c_custkey AS id, c_name AS name, c_custkey % 2 = 0 AS two, c_custkey % 3 = 0 AS three FROM customer) "
 TOC = "'[\"Order ' || o_orderkey || '\",\"Items\",\"Links\",\"Data\"]'"
 
 # name: (query, DuckDB SQL)
@@ -79,7 +96,7 @@ CATALOG: dict[str, tuple[str, str]] = {
     "select_bare": ("select from region", "SELECT * FROM region"),
     "select_alias": ("select n_name as name, n_nationkey + 1 as next from nation", "SELECT n_name AS name, n_nationkey::BIGINT + 1 AS next FROM nation"),
     "auto_names": ("select upper(r_name), r_regionkey = 2 from region", 'SELECT upper(r_name) AS "upper(r_name)", r_regionkey = 2 AS "r_regionkey_=_2" FROM region'),
-    "where_compare": ("select o_orderkey from orders where o_totalprice >= 200000 and o_orderkey < 9000", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 200000 AND o_orderkey < 9000"),
+    "where_compare": ('select o_orderkey from orders where o_totalprice >= 200000 and o_totalprice <= +400000 and o_orderdate < "1997-01-01"', "SELECT o_orderkey FROM orders WHERE o_totalprice >= 200000 AND o_totalprice <= 400000 AND o_orderdate < TIMESTAMP '1997-01-01'"),
     "where_and_or_not": (
         'select o_orderkey from orders where not o_orderstatus = "F" and o_totalprice > 50000 or o_orderpriority = "1-URGENT"',
         "SELECT o_orderkey FROM orders WHERE (NOT o_orderstatus = 'F' AND o_totalprice > 50000) OR o_orderpriority = '1-URGENT'",
@@ -109,12 +126,12 @@ CATALOG: dict[str, tuple[str, str]] = {
     "equal_null": ("select doc_id from marked where quality = 1", MARKED + "SELECT doc_id FROM marked WHERE quality = 1"),
     "unequal_null": ("select doc_id from marked where quality != 1", MARKED + "SELECT doc_id FROM marked WHERE quality IS DISTINCT FROM 1"),
     "absent_in": ("select doc_id from marked where quality not in (1)", MARKED + "SELECT doc_id FROM marked WHERE coalesce(quality NOT IN (1), true)"),
-    "absent_matches": ('select doc_id from marked where not (nothing matches "x")', MARKED + "SELECT doc_id FROM marked"),
+    "absent_matches": ('select doc_id from marked where not (nothing matches "x") and not (lang matches "^e")', MARKED + "SELECT doc_id FROM marked WHERE NOT starts_with(lang, 'e')"),
     "less_null": ("select doc_id from marked where quality < 1", MARKED + "SELECT doc_id FROM marked WHERE quality < 1"),
     "any_op": ('select p_partkey from words where w any = "ring"', "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')"),
     "any_contains": ('select p_partkey from words where w any starts_with "s"', "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, 's'))) > 0"),
-    "all_op": ('select p_partkey from words where w all contains "i"', "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: NOT contains(x, 'i'))) = 0"),
-    "any_of_scalar": ('select p_partkey from part where p_name any = "x"', "SELECT p_partkey FROM part WHERE false"),
+    "all_op": ('select p_partkey from words where w all contains "e"', "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: NOT contains(x, 'e'))) = 0"),
+    "any_of_scalar": ('select p_partkey, p_name any = "ring" as s, w any = "ring" as a from words', "SELECT p_partkey, false AS s, list_contains(string_split(p_name, ' '), 'ring') AS a FROM part"),
     "in_array": ('select p_partkey from words where "ring" in w', "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')"),
     "array_contains": ('select p_partkey from words where w contains "ring"', "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')"),
     "arithmetic": (
@@ -138,8 +155,8 @@ CATALOG: dict[str, tuple[str, str]] = {
         "CASE WHEN list_contains(w, 'ring') THEN w[1] ELSE 'ring' END AS c FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)",
     ),
     "date_arithmetic": (
-        'select o_orderkey, dateFormat(o_orderdate + 86400000, "YYYY-MM-DD") as d, o_orderdate - date("1995-01-01") as x, daysUntil("1995-01-01", o_orderdate) as days from orders'.replace('o_orderdate - date("1995-01-01") as x, ', ""),
-        "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS d, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS days FROM orders",
+        'select o_orderkey, dateFormat(o_orderdate + 86400000, "YYYY-MM-DD") as d, o_orderdate - date("1995-01-01") as x, "1999-01-01" - o_orderdate as y, o_orderdate - o_orderdate as z, daysUntil("1995-01-01", o_orderdate) as days from orders',
+        "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS d, epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-01-01') AS x, epoch_ms(TIMESTAMP '1999-01-01') - epoch_ms(o_orderdate) AS y, 0::BIGINT AS z, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS days FROM orders",
     ),
     "date_functions": (
         'select o_orderkey, isBefore(o_orderdate, "1998-06-01") as b, isAfter(o_orderdate, "1998-06-01") as a, dateAdd(o_orderdate, 10) as p, date_sub(o_orderdate, 3) as m, dateFormat(o_orderdate, "DD/MM/YYYY HH:mm") as f from orders',
@@ -157,23 +174,23 @@ CATALOG: dict[str, tuple[str, str]] = {
     "having": ("select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 12 and max(o_totalprice) > 250000", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12 AND max(o_totalprice) > 250000"),
     "having_no_group": ("select n_name from nation having n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = 1"),
     "global_aggregate": ("select count(*) as n, min(o_orderdate) as first, max(o_totalprice) as top from orders", "SELECT count(*) AS n, min(o_orderdate) AS first, max(o_totalprice) AS top FROM orders"),
-    "group_bare_first": ("select c_custkey, c_name, count(*) as n from customer group by c_custkey", "SELECT c_custkey, c_name, 1::BIGINT AS n FROM customer"),
+    "group_bare_first": ("select c_nationkey, c_custkey, c_name, count(*) as n from customer group by c_nationkey", "SELECT c_nationkey, min(c_custkey) AS c_custkey, arg_min(c_name, c_custkey) AS c_name, count(*) AS n FROM customer GROUP BY 1"),
     "count_null": ("select lang, count(quality) as q, count(*) as n from marked group by lang", MARKED + "SELECT lang, count(quality) AS q, count(*) AS n FROM marked GROUP BY 1"),
     "group_expression": ("select p_size % 5 as r, count(*) as n from part group by p_size % 5", "SELECT p_size::BIGINT % 5 AS r, count(*) AS n FROM part GROUP BY 1"),
     "order_limit": ("select c_custkey, c_acctbal from customer order by c_acctbal desc, c_custkey limit 10", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10"),
     "order_hidden": ("select c_custkey from customer order by c_acctbal, c_custkey limit 7 offset 3", "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 7 OFFSET 3"),
-    "order_nulls_last": ("select doc_id, quality from marked order by quality, doc_id limit 500", MARKED + "SELECT doc_id, quality FROM marked ORDER BY quality NULLS LAST, doc_id LIMIT 500"),
+    "order_nulls_last": ("select doc_id, quality from marked order by quality, doc_id offset 60", MARKED + "SELECT doc_id, quality FROM marked ORDER BY quality NULLS LAST, doc_id OFFSET 60"),
     "offset": ("select n_nationkey from nation order by n_name offset 20", "SELECT n_nationkey FROM nation ORDER BY n_name OFFSET 20"),
     "limit_zero": ("select n_nationkey from nation limit 0", "SELECT n_nationkey FROM nation LIMIT 0"),
     "distinct": ("select distinct c_mktsegment, c_nationkey from customer", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer"),
     "distinct_expression": ("select distinct upper(c_mktsegment) as s from customer order by s", "SELECT DISTINCT upper(c_mktsegment) AS s FROM customer"),
-    "join_inner": ("select n_name, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey".replace("r.r_name", "r.r_name as region"), "SELECT n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "join_inner": ("select n_name, r.r_name as region from nation n join region r on n.n_regionkey = r.r_regionkey", "SELECT n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "join_where": (
         "select c.c_name as c_name, orders.o_orderkey as k from customer c inner join orders on c.c_custkey = orders.o_custkey where o_totalprice > 300000",
         "SELECT c_name, o_orderkey AS k FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000",
     ),
     "join_trailing": (
-        "select s_name, nation.n_name as nation where s_acctbal > 0 inner join nation on supplier.s_nationkey = nation.n_nationkey".replace("select s_name, nation.n_name as nation", "select s_name, nation.n_name as nation from supplier"),
+        "select s_name, nation.n_name as nation from supplier where s_acctbal > 0 inner join nation on supplier.s_nationkey = nation.n_nationkey",
         "SELECT s_name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0",
     ),
     "join_left": ("select c_custkey, o.o_orderkey as k from customer left join orders o on customer.c_custkey = o.o_custkey", "SELECT c_custkey, o_orderkey AS k FROM customer LEFT JOIN orders ON c_custkey = o_custkey"),
@@ -190,10 +207,17 @@ CATALOG: dict[str, tuple[str, str]] = {
     ),
     "union_distinct": ("select c_nationkey as k from customer union select s_nationkey as k from supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "union_all": ("select c_nationkey as k from customer union all select s_nationkey as k from supplier union all select n_nationkey from nation", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation"),
+    "union_chain": ("select c_nationkey as k from customer union select s_nationkey as k from supplier union all select n_nationkey from nation", "(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT n_nationkey FROM nation"),
+    "union_chain_last": ("select c_nationkey as k from customer union all select s_nationkey as k from supplier union select n_nationkey from nation", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation"),
     "in_subquery": ("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
-    "not_in_subquery": ("select c_custkey from customer where c_custkey not in (select o_custkey from orders)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "not_in_subquery": ("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
+    "not_in_nulls": (  # null-safe, as = is: a null is in a result that holds one, and hides nothing else
+        "select doc_id, quality from marked where quality not in (select toxic from marked where toxic is empty or toxic = 1)",
+        MARKED + "SELECT doc_id, quality FROM marked m WHERE NOT EXISTS (SELECT 1 FROM marked i WHERE (i.toxic IS NULL OR i.toxic = 1) AND i.toxic IS NOT DISTINCT FROM m.quality)",
+    ),
+    "not_in_without_nulls": ("select doc_id from marked where quality not in (select toxic from labels where toxic = 1)", MARKED + "SELECT doc_id FROM marked WHERE quality IS DISTINCT FROM 1"),
     "exists_correlated": ('select c_custkey from customer where exists (select from orders where o_custkey = outer.c_custkey and o_orderstatus = "P")', "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
-    "not_exists": ("select c_custkey from customer where not exists (select from orders where o_custkey = outer.c_custkey)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "not_exists": ("select c_custkey from customer where not exists (select from orders where o_custkey = outer.c_custkey and o_totalprice > 300000)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "scalar_subquery": ("select o_orderkey from orders where o_totalprice = (select max(o_totalprice) from orders)", "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)"),
     "count_subquery": ("select c_custkey, count(select from orders where o_custkey = outer.c_custkey) as n from customer", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
     "text_functions": (
@@ -207,7 +231,16 @@ CATALOG: dict[str, tuple[str, str]] = {
         "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') AS p, upper(p_name[1]) || lower(p_name[2:]) AS s, "
         "replace(lower(p_name), ' ', '_') AS n, replace(lower(p_name), ' ', '-') AS k FROM part",
     ),
-    "text_predicates": ('select p_partkey, contains(p_name, "in") as c, startsWith(p_name, "s") as s, endsWith(p_name, "g") as e, trimAll("a|b") as t from part', "SELECT p_partkey, contains(p_name, 'in') AS c, starts_with(p_name, 's') AS s, ends_with(p_name, 'g') AS e, 'a b' AS t FROM part"),
+    "text_predicates": ('select p_partkey, contains(p_name, "in") as c, startsWith(p_name, "s") as s, endsWith(p_name, "g") as e, trimAll("|" + p_name + "|b") as t from part', "SELECT p_partkey, contains(p_name, 'in') AS c, starts_with(p_name, 's') AS s, ends_with(p_name, 'g') AS e, ' ' || p_name || ' b' AS t FROM part"),
+    "text_methods": (
+        'select p_partkey, p_type.toLowerCase() as l, p_name.toUpperCase() as u, (" " + p_name + " ").trim() as t, p_name.startsWith("s") as s, p_name.endsWith("g") as e, p_name.includes("in") as i from part',
+        "SELECT p_partkey, lower(p_type) AS l, upper(p_name) AS u, p_name AS t, starts_with(p_name, 's') AS s, ends_with(p_name, 'g') AS e, contains(p_name, 'in') AS i FROM part",
+    ),
+    "call_again": ('select p_partkey, replace(p_name, "r")("_") as r, join(w, "+") as j from words', "SELECT p_partkey, replace(p_name, 'r', '_') AS r, replace(p_name, ' ', '+') AS j FROM part"),
+    "clock": (
+        'select r_name, len(now()) as n, today() = now().slice(0, 10) as t, daysSince(today()) as z, nextDate("weekly") > today() as w, date("1996-02-03") as d, len(user()) > 0 as u, date("no date") is empty as e from region',
+        "SELECT r_name, 24 AS n, true AS t, 0::BIGINT AS z, true AS w, '1996-02-03T00:00:00.000Z' AS d, true AS u, true AS e FROM region",
+    ),
     "conversions": (
         'select event_id, str(user_id) as s, int(value) as i, int("12abc") as j, float("2.5x") as f, bool(user_id) as b, bool("yes") as y, array(event_type).count() as a, typeof(value) as t, typeof(event_type) as u from events',
         "SELECT event_id, user_id::VARCHAR AS s, floor(value)::BIGINT AS i, 12::BIGINT AS j, 2.5::DOUBLE AS f, user_id <> 0 AS b, true AS y, 1::BIGINT AS a, 'number' AS t, 'string' AS u FROM events",
@@ -231,6 +264,32 @@ CATALOG: dict[str, tuple[str, str]] = {
         "SELECT n_nationkey, 3::BIGINT AS k, 3::BIGINT AS v, 'n_nationkey,n_name,n_regionkey' AS f, n_name AS name FROM nation",
     ),
     "map_get": ("select event_id, props.k as k from events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
+    "map_key": ("select event_id, props['k'] as k, event_type.length() as n from events", "SELECT event_id, json_extract_string(props, '$.k') AS k, length(event_type) AS n FROM events"),
+    "map_entries": ("select n_nationkey, fields().entries().count() as e, fields().entries().map('key').join(',') as k, fields().length() as n from nation", "SELECT n_nationkey, 3::BIGINT AS e, 'n_nationkey,n_name,n_regionkey' AS k, 3::BIGINT AS n FROM nation"),
+    "document_id": ("select id() as i, title from docs where id = 32 or total > 400000", "SELECT o_orderkey::VARCHAR AS i, 'Order ' || o_orderkey AS title FROM orders WHERE o_orderkey = 32 OR o_totalprice > 400000"),
+    "notes_deep_headings": (
+        "select id, h4.count() as a, h5[0].title as b, h6.map('title').join(',') as c, has_section('Four') as f from notes",
+        NOTES + "SELECT id, two::BIGINT AS a, CASE WHEN two THEN 'Five ' || id END AS b, CASE WHEN two THEN 'Six' ELSE '' END AS c, two AS f FROM notes",
+    ),
+    "notes_outline": (
+        "select id, outline(5) as o, toc([1, 6]).map('title').join('/') as t from notes",
+        NOTES + "SELECT id, '└── ' || name || CASE WHEN two THEN chr(10) || '            └── Four' || chr(10) || '                └── Five ' || id ELSE '' END AS o, name || CASE WHEN two THEN '/Six' ELSE '' END AS t FROM notes",
+    ),
+    "notes_paragraphs": ("select id, p[0].content as a, p.filter(content contains 'last').count() as b from notes", NOTES + "SELECT id, 'Intro x for ' || name || '.' AS a, three::BIGINT AS b FROM notes"),
+    "notes_references": (
+        "select id, imageRef.map('identifier').join(',') as i, imageRef.count() as n, def('im').map('url').join(',') as u, linkRef[0].text as l from notes",
+        NOTES + "SELECT id, CASE WHEN three THEN 'im' ELSE '' END AS i, three::BIGINT AS n, 'http://i/' || id AS u, CASE WHEN two THEN 'see' END AS l FROM notes",
+    ),
+    "notes_lists": (
+        "select id, listItem.map('content').join('|') as c, list.count() as n, list.filter(ordered = true).count() as o, listItem.filter(children.count() > 0).count() as k from notes",
+        NOTES + "SELECT id, 'a ' || id || 'bc|bc|c|d' || CASE WHEN three THEN '|one|two' ELSE '' END AS c, 3 + three::BIGINT AS n, three::BIGINT AS o, 2::BIGINT AS k FROM notes",
+    ),
+    "notes_html": ("select id, html.count() as n, html[0].content as h, inlineCode.map('content').join(',') as c from notes", NOTES + "SELECT id, two::BIGINT AS n, CASE WHEN two THEN '<section>' || chr(10) || id || chr(10) || '</section>' END AS h, 'c' || id AS c FROM notes"),
+    "notes_sections": ("select id, section('Five ' + id).hierarchy.join('/') as h, sections().count() as n from notes", NOTES + "SELECT id, CASE WHEN two THEN name || '/Four' END AS h, 1 + 3 * two::BIGINT AS n FROM notes"),
+    "notes_scans": (  # one parse for all patterns, elements and outlines
+        r"select id, grep(/last (\w+)/).map('text').join(',') as a, grep(/INTRO/i)[0].section.join('/') as b, grep(/\bc\b/).count() as c, outline(1) as o from notes",
+        NOTES + "SELECT id, CASE WHEN three THEN 'last words' ELSE '' END AS a, name AS b, 1::BIGINT AS c, '└── ' || name AS o FROM notes",
+    ),
     "md_headings": ("select id, h1[0].title as h, h2.count() as n, h2.map('title').join(',') as t, h3[0].level as l from docs", DOCS + "SELECT o_orderkey AS id, 'Order ' || o_orderkey AS h, 2::BIGINT AS n, 'Items,Links' AS t, 3 AS l FROM docs"),
     "md_toc": ("select id, toc().map('title').join('/') as t, toc(2).count() as n, toc([1, 3]).count() as m from docs", DOCS + "SELECT o_orderkey AS id, 'Order ' || o_orderkey || '/Items/Links/Data' AS t, 2::BIGINT AS n, 2::BIGINT AS m FROM docs"),
     "md_outline": ("select id, outline(2) as o from docs", DOCS + "SELECT o_orderkey AS id, '└── Order ' || o_orderkey || chr(10) || '    ├── Items' || chr(10) || '    └── Links' AS o FROM docs"),
@@ -277,8 +336,13 @@ CATALOG: dict[str, tuple[str, str]] = {
     "delete_frame": ('delete where o_orderstatus != "F"', "SELECT * FROM orders WHERE o_orderstatus = 'F'"),
     "create_frame": ('create o_orderkey = 0 o_orderstatus = "N" o_totalprice:number = "12.5"', "SELECT * FROM orders UNION ALL SELECT 0, NULL, 'N', 12.5, NULL, NULL"),
     "trigger_deny": ('before update where old.o_orderstatus = "F" and new.o_totalprice > 100000 deny "closed"', "SELECT o_orderkey, 'closed' AS denied FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000"),
-    "pipe_clipboard": ("select r_name from region | clipboard()", "SELECT r_name FROM region"),
+    "trigger_update": (
+        'update where o_totalprice > 300000 set o_totalprice = o_totalprice + 1',
+        "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_totalprice > 300000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, "
+        "CASE WHEN o_totalprice > 300000 AND o_orderstatus = 'F' THEN 'was ' || o_orderpriority ELSE o_orderpriority END AS o_orderpriority FROM orders",
+    ),
 }
+TRIGGERS = {"trigger_update": ('before update where old.o_orderstatus = "F" and new.o_totalprice > old.o_totalprice set o_orderpriority = "was " + old.o_orderpriority',)}
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,6 +355,8 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
         rows = made.table("orders").frame
         return trigger_frame(made, CATALOG[name][0], rows, rows).where("denied is not null").select("o_orderkey", "denied")
+    for trigger in TRIGGERS.get(name, ()):
+        made.sql(trigger)
     return made.sql(CATALOG[name][0]).frame
 
 
@@ -305,8 +371,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, name=name: run(spark, sf_dir, name)) for name in CATALOG}
+    return {name: (lambda spark, sf_dir, name=name: run(spark, sf_dir, name)) for name in CATALOG} | {name: query for name, (query, _) in FILES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in CATALOG.items()}
+    return {name: sql for name, (_, sql) in (CATALOG | FILES).items()}

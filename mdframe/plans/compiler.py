@@ -55,6 +55,14 @@ class Scope:
         return self.columns.get(name)
 
 
+def inner_prefix(outer: Scope | None) -> str:
+    """What the columns of a subquery begin with, by its depth; nothing for the outermost query."""
+    depth = 0
+    while outer is not None:
+        outer, depth = outer.outer, depth + 1
+    return f"{HIDDEN}in{depth}." if depth else ""
+
+
 class Compiler:
     """Compiles for an engine, which gives tables, hooks and registered functions."""
 
@@ -141,7 +149,7 @@ class Compiler:
                 found = scope.outer.find(key)
                 if found is None:
                     raise QueryError(f"outer has no field {key}")
-                return Val(quoted(key).outer() if not scope.outer.items else found.col, found.type)
+                return _outer(found) if not scope.outer.items else found
             if of.name in scope.qualified and scope.find(of.name) is None:
                 found = scope.qualified[of.name].get(key)
                 return found if found is not None else lit(None)
@@ -317,7 +325,10 @@ class Compiler:
         body = "body" in frame.columns
         if body and used & content.NAMES:
             frame = self.spread(frame).withColumn(f"{HIDDEN}index", content.index_column(F.col("body"), used, content.scans_of(query)))
-        columns = {f.name: Val(quoted(f.name), f.dataType) for f in frame.schema}
+        prefix = inner_prefix(outer)
+        if prefix:  # a subquery's columns have names of their own, so that those of the outer query stay visible
+            frame = frame.select(*[quoted(c).alias(prefix + c) for c in frame.columns]).alias(prefix)  # the alias ends the search for names
+        columns = {f.name.removeprefix(prefix): Val(quoted(f.name), f.dataType) for f in frame.schema}
         for short, full in (("_filename", "filename"), ("_path", "path"), ("_content", "body"), ("filepath", "abspath")):
             if full in columns and short not in columns:
                 columns[short] = columns[full]
@@ -348,8 +359,9 @@ class Compiler:
     def join(self, left: DataFrame, scope: Scope, join: t.Join) -> tuple[DataFrame, Scope]:
         name = join.alias or join.table
         right = self.engine.table(join.table).frame
-        renamed = right.select(*[quoted(c).alias(f"{name}.{c}") for c in right.columns])
-        own = {c: Val(quoted(f"{name}.{c}"), right.schema[c].dataType) for c in right.columns}
+        prefix = f"{inner_prefix(scope.outer)}{name}."
+        renamed = right.select(*[quoted(c).alias(prefix + c) for c in right.columns])
+        own = {c: Val(quoted(prefix + c), right.schema[c].dataType) for c in right.columns}
         columns = dict(scope.columns)
         for c, v in own.items():
             columns[f"{name}.{c}"] = v

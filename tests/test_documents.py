@@ -9,41 +9,41 @@ from mdframe.operators.mutate import trigger_frame
 from mdframe.sources.documents import IgnoreRules, list_files, split_front
 
 TASKS = {
-    "task-001.md": "---\nid: 1\ntitle: Test Task\nstatus: todo\nprojectId: 1\npriority: 3\ntags: [backend, auth]\ncreatedAt: 2026-07-18T10:00:00Z\n---\n\nThis is a test task.",
-    "task-002.md": "---\nid: 2\ntitle: Another Task\nstatus: done\nprojectId: 1\npriority: 5\ntags: [frontend, ui]\ncreatedAt: 2026-07-19T10:00:00Z\n---\n\nThis is another test task.",
-    "task-003.md": "---\nid: 3\ntitle: Third Task\nstatus: doing\nprojectId: 2\npriority: 1\ncreatedAt: 2026-07-20T10:00:00Z\n---\n\nThis is the third test task.",
+    "anchor.md": "---\nid: 1\ntitle: Weigh anchor\nstatus: moored\nfleet: 7\npriority: 3\ntags: [deck, crew]\ncreatedAt: 2025-03-02T06:30:00Z\n---\n\nTwo hands at the winch.",
+    "ballast.md": "---\nid: 2\ntitle: Trim ballast\nstatus: sailed\nfleet: 7\npriority: 5\ntags: [hold, pumps]\ncreatedAt: 2025-03-05T06:30:00Z\n---\n\nPump the aft tank dry.",
+    "chart.md": "---\nid: 3\ntitle: Mark chart\nstatus: docked\nfleet: 8\npriority: 1\ncreatedAt: 2025-03-09T06:30:00Z\n---\n\nShoals east of the light.",
 }
 BODY = """---
-title: Body Doc
+title: Galley Book
 ---
-# Setup
+# Provisions
 
-Install bun.
+Salt the fish first.
 
-## Config
+## Stores
 
-Set the path.
+Count the barrels twice.
 
-```js
-const x = 1;
+```sh
+ls hold
 ```
 
-```ts
-const y: number = 2;
+```sql
+select barrels;
 ```
 
-[link text](https://example.com)
+[manifest](https://ships.example/manifest)
 
-![alt text](img.png)
+![the hold](hold.png)
 
-> Important: read this.
+> Warning: rats below.
 
-- [ ] write tests
-- [x] fix bugs
+- [ ] buy lemons
+- [x] patch sacks
 
-| Col A | Col B |
-|-------|-------|
-| 1     | 2     |
+| Item | Tons |
+|------|------|
+| rice | 12   |
 """
 
 
@@ -69,21 +69,21 @@ def rows(e, q):
 def test_selects(spark, tmp_path):
     e = engine(spark, make(tmp_path, TASKS))
     assert len(rows(e, "select")) == 3
-    assert set(rows(e, "select *")[0]) == {"id", "title", "status", "projectId", "priority", "tags", "createdAt", "filename", "path", "abspath", "filepath", "source_dir"}
-    assert [r["title"] for r in rows(e, 'select title where status = "todo"')] == ["Test Task"]
+    assert set(rows(e, "select *")[0]) == {"id", "title", "status", "fleet", "priority", "tags", "createdAt", "filename", "path", "abspath", "filepath", "source_dir"}
+    assert [r["title"] for r in rows(e, 'select title where status = "moored"')] == ["Weigh anchor"]
     assert [r["priority"] for r in rows(e, "select priority order by priority desc")] == [5, 3, 1]
     assert [r["id"] for r in rows(e, "select id order by priority limit 2")] == [3, 1]
-    assert len(rows(e, "select distinct projectId")) == 2
-    assert [r["id"] for r in rows(e, 'select id where tags any = "backend"')] == [1]
-    assert rows(e, "select projectId, count(*) group by projectId having count(*) > 1") == [{"projectId": 1, "count(*)": 2}]
-    assert rows(e, "select title, count(*) as n group by projectId having count(*) > 1") == [{"title": "Test Task", "n": 2}]
-    assert len(rows(e, 'select where has(tags) and not status = "done"')) == 1
+    assert len(rows(e, "select distinct fleet")) == 2
+    assert [r["id"] for r in rows(e, 'select id where tags any = "deck"')] == [1]
+    assert rows(e, "select fleet, count(*) group by fleet having count(*) > 1") == [{"fleet": 7, "count(*)": 2}]
+    assert rows(e, "select title, count(*) as n group by fleet having count(*) > 1") == [{"title": "Weigh anchor", "n": 2}]
+    assert len(rows(e, 'select where has(tags) and not status = "sailed"')) == 1
     assert len(rows(e, 'select where nonexistent != "value"')) == 3 and not rows(e, 'select where nonexistent = "value"')
-    assert [r["id"] for r in rows(e, 'select id where createdAt > "2026-07-19"')] == [2, 3]
-    assert rows(e, "select content() where id = 1") == [{"content()": "This is a test task."}]
-    assert rows(e, 'select fields("p*") as f where id = 1') == [{"f": ["projectId", "priority"]}]
+    assert [r["id"] for r in rows(e, 'select id where createdAt > "2025-03-04"')] == [2, 3]
+    assert rows(e, "select content() where id = 1") == [{"content()": "Two hands at the winch."}]
+    assert rows(e, 'select fields("*t*") as f where id = 1') == [{"f": ["title", "status", "fleet", "priority", "tags", "createdAt"]}]
     meta = rows(e, "select file().size as s, file().mode as m where id = 1")[0]
-    assert meta["s"] == os.path.getsize(tmp_path / "task-001.md") and len(meta["m"]) == 9
+    assert meta["s"] == os.path.getsize(tmp_path / "anchor.md") and len(meta["m"]) == 9
 
 
 def test_presence_and_limits(spark, tmp_path):
@@ -114,16 +114,16 @@ def test_body(spark, tmp_path):
     e = engine(spark, make(tmp_path, {"body.md": BODY}))
     one = lambda q: rows(e, q)[0]
     h1 = one("select h1")["h1()"]
-    assert one("select h1[0].title") == {"h1()[0].title": "Setup"} and one("select link.map('url')") == {'link().map("url")': ["https://example.com"]}
-    assert (h1[0]["title"], h1[0]["level"], h1[0]["content"]) == ("Setup", 1, "Install bun.")
-    got = one("select h1[0].title as a, code.count() as b, code[0].lang as c, code('js').count() as d, table[0].headers.map('content') as e, body.h1[0].title as f")
-    assert got == {"a": "Setup", "b": 2, "c": "js", "d": 1, "e": ["Col A", "Col B"], "f": "Setup"}
-    got = one("select listItem.filter(checked = false).map('content') as a, h1('Nope').count() as b, link('https*').count() as c, blockquote('*Important*').count() as d")
-    assert got == {"a": ["write tests"], "b": 0, "c": 1, "d": 1}
-    assert rows(e, 'select title where h1.filter(title matches "Setup|Config").count() > 0') == [{"title": "Body Doc"}]
-    assert [(x["level"], x["title"]) for x in one("select toc() as t")["t"]] == [(1, "Setup"), (2, "Config")]
-    assert one("select toc().filter(title starts_with 'Set').count() as n")["n"] == 1
-    assert one("select section('Config').content as c")["c"].startswith("Set the path.")
+    assert one("select h1[0].title") == {"h1()[0].title": "Provisions"} and one("select link.map('url')") == {'link().map("url")': ["https://ships.example/manifest"]}
+    assert (h1[0]["title"], h1[0]["level"], h1[0]["content"]) == ("Provisions", 1, "Salt the fish first.")
+    got = one("select h1[0].title as a, code.count() as b, code[0].lang as c, code('sql').count() as d, table[0].headers.map('content') as e, body.h1[0].title as f")
+    assert got == {"a": "Provisions", "b": 2, "c": "sh", "d": 1, "e": ["Item", "Tons"], "f": "Provisions"}
+    got = one("select listItem.filter(checked = false).map('content') as a, h1('Nope').count() as b, link('https*').count() as c, blockquote('*Warning*').count() as d")
+    assert got == {"a": ["buy lemons"], "b": 0, "c": 1, "d": 1}
+    assert rows(e, 'select title where h1.filter(title matches "Provisions|Stores").count() > 0') == [{"title": "Galley Book"}]
+    assert [(x["level"], x["title"]) for x in one("select toc() as t")["t"]] == [(1, "Provisions"), (2, "Stores")]
+    assert one("select toc().filter(title starts_with 'Pro').count() as n")["n"] == 1
+    assert one("select section('Stores').content as c")["c"].startswith("Count the barrels twice.")
 
 
 def test_markdown_counts():
@@ -150,21 +150,21 @@ def test_markdown_counts():
 
 def test_grep_and_outline():
     at = lambda s, p: [(g["line"], g["column"]) for g in grep_text(s, p)]
-    assert at("# Title\n\nHello TODO world.\n", "TODO") == [(3, 6)]
-    assert at("# Title\n\nFirst line\nTODO second line.\n", "TODO") == [(4, 0)]
-    assert grep_text("First sentence here. Second sentence with TODO item.\n", "TODO")[0]["sentence"] == "Second sentence with TODO item."
-    g = grep_text("See [TODO link](https://example.com) here.\n", "TODO")[0]
-    assert g["paragraph"] == "See TODO link here." and [a["type"] for a in g["ancestors"]] == ["root", "paragraph", "link"]
-    assert grep_text("# Installation\n\n## Setup\n\nRun TODO now.\n", "TODO")[0]["section"] == ["Installation", "Setup"]
-    assert [x["captures"] for x in grep_text("Call foo(123) and foo(456).\n", r"foo\((\d+)\)")] == [["123"], ["456"]]
+    assert at("# Log\n\nAll hands REEF sails.\n", "REEF") == [(3, 10)]
+    assert at("# Log\n\nWind is up\nREEF at dusk.\n", "REEF") == [(4, 0)]
+    assert grep_text("The sea was calm. At noon we had to REEF again.\n", "REEF")[0]["sentence"] == "At noon we had to REEF again."
+    g = grep_text("Ask [the REEF crew](https://crew.example) first.\n", "REEF")[0]
+    assert g["paragraph"] == "Ask the REEF crew first." and [a["type"] for a in g["ancestors"]] == ["root", "paragraph", "link"]
+    assert grep_text("# Voyage\n\n## Storm\n\nThen REEF all.\n", "REEF")[0]["section"] == ["Voyage", "Storm"]
+    assert [x["captures"] for x in grep_text("Knots: run(9) then run(14).\n", r"run\((\d+)\)")] == [["9"], ["14"]]
     assert outline_text([(1, "A"), (2, "B"), (2, "C")], 2) == "└── A\n    ├── B\n    └── C"
 
 
 def test_toc_membership(spark, tmp_path):
-    e = engine(spark, make(tmp_path, {"doc1.md": "# Project\n## TODO\n### Fix bugs\n## DONE\n", "doc2.md": "# Project\n## FIXME\n## DONE\n", "doc3.md": "# Project\n## TODO\n## FIXME\n"}))
+    e = engine(spark, make(tmp_path, {"one.md": "# Ship\n## Mast\n### Splice\n## Keel\n", "three.md": "# Ship\n## Mast\n## Hull\n", "two.md": "# Ship\n## Hull\n## Keel\n"}))
     names = lambda q: [r["filename"] for r in rows(e, f"select filename where {q}")]
-    assert names('"TODO" in toc()') == names('has section("TODO")') == ["doc1", "doc3"]
-    assert names('has_section("FIXME")') == ["doc2", "doc3"] and not names('"none" in toc()')
+    assert names('"Mast" in toc()') == names('has section("Mast")') == ["one", "three"]
+    assert names('has_section("Hull")') == ["three", "two"] and not names('"none" in toc()')
 
 
 def test_discovery(spark, tmp_path):
@@ -197,14 +197,14 @@ def test_empty_directory(spark, tmp_path):
 def test_mutations(spark, tmp_path):
     folder = make(tmp_path, TASKS)
     e = engine(spark, folder)
-    assert e.sql('update where id = 1 set status = "doing", tags = tags + ["x"], priority = priority + 1').updated == 1
+    assert e.sql('update where id = 1 set status = "docked", tags = tags + ["x"], priority = priority + 1').updated == 1
     e = engine(spark, folder)
-    assert rows(e, "select status, tags, priority, body where id = 1") == [{"status": "doing", "tags": ["backend", "auth", "x"], "priority": 4, "body": "This is a test task."}]
-    assert e.sql('create title = "New Task" status = "todo" file = "new-task"').created == 1
-    assert os.path.exists(tmp_path / "new-task.md")
+    assert rows(e, "select status, tags, priority, body where id = 1") == [{"status": "docked", "tags": ["deck", "crew", "x"], "priority": 4, "body": "Two hands at the winch."}]
+    assert e.sql('create title = "Paint hull" status = "moored" file = "paint-hull"').created == 1
+    assert os.path.exists(tmp_path / "paint-hull.md")
     with pytest.raises(QueryError, match="create requires path to file"):
-        e.sql('create title = "No Target"')
-    assert e.sql("delete where id = 3").deleted == 1 and not os.path.exists(tmp_path / "task-003.md")
+        e.sql('create title = "Adrift"')
+    assert e.sql("delete where id = 3").deleted == 1 and not os.path.exists(tmp_path / "chart.md")
     with pytest.raises(QueryError, match="delete requires a where clause"):
         e.sql("delete")
     with pytest.raises(QueryError, match="no file with id '99'"):
@@ -226,6 +226,70 @@ def test_triggers(spark):
         trigger_frame(e, 'after update run "x"', old, new)
 
 
+def test_triggers_of_statements(spark, tmp_path):
+    """A trigger statement holds for later statements on its table: it sees old and new rows, denies or sets, before and after."""
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "id long, kind string, n long"))
+    e.sql('before update where new.n > 100 deny "too many"')
+    e.sql("before update where new.n > old.n set kind = old.kind + '+', n = new.n + 1")
+    e.sql("after update where old.n = 5 set kind = new.kind + '!'")
+    e.sql('before create where new.n < 0 deny "negative"')
+    e.sql("before create where not has(old) set kind = 'made'")
+    e.sql('before delete where old.id = 2 deny "kept"')
+    changed = lambda q: sorted((r["id"] or 0, r["kind"], r["n"]) for r in rows(e, q))
+    assert changed("update set n = n + 10") == [(1, "a+", 12), (2, "b+!", 16)]
+    assert changed("update where id = 1 set n = 0") == [(1, "a", 0), (2, "b", 5)]
+    assert changed("create id = 3 n = 4")[2] == (3, "made", 4) and changed("delete where id = 1") == [(2, "b", 5)]
+    for q, message in (("update set n = 101", "too many"), ("create id = 3 n = -4", "negative"), ("delete where n > 0", "kept")):
+        with pytest.raises(QueryError, match=message):
+            e.sql(q)
+    with pytest.raises(QueryError, match="run commands"):
+        e.sql('after update run "x"')
+    folder = make(tmp_path, TASKS)
+    e = engine(spark, folder)
+    e.sql("before update where old.fleet = 7 set mark = 'seven', priority = new.priority * 2")
+    assert e.sql("update where priority >= 3 set priority = priority + 1").updated == 2
+    assert sorted((r["id"], r["priority"], r["mark"]) for r in rows(engine(spark, folder), "select id, priority, mark where id < 3")) == [(1, 8, "seven"), (2, 12, "seven")]
+
+
+def test_pipes_and_errors(spark, tmp_path):
+    folder, copied, seen = make(tmp_path, TASKS | {"bad.md": "---\na: [\n---\n"}), [], []
+    e = Engine(spark, hooks={"on_error": seen.append}, actions={"keep": lambda result, *a: copied.append((a, result.rows()))})
+    e.register_directory(folder, str(tmp_path / "none"))
+    assert sorted(x["phase"] for x in seen) == ["list", "read"]
+    assert e.sql("select id order by id limit 1 | keep('x', 2)").action == ("keep", ("x", 2)) and copied == [(("x", 2), [{"id": 1}])]
+    assert len(e.sql("select id | unknown()").rows()) == 3
+
+
+def test_hooks_of_values_and_writes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = make(tmp_path, TASKS)
+    written = []
+    e = Engine(spark, hooks={"on_evaluate_value": lambda c, name: F.upper(c) if name == "title" else c, "on_before_write": lambda row, kind: (written.append(kind), row.update(mark=kind))})
+    e.register_directory(folder)
+    assert rows(e, "select title where id = 1") == [{"title": "WEIGH ANCHOR"}]
+    assert e.sql("update where id = 1 set mark = 'none'").updated == 1 and e.sql('create id = 9 file = "nine"').created == 1
+    assert written == ["update", "create"] and sorted(r["mark"] for r in rows(engine(spark, folder), "select mark where has(mark)")) == ["create", "update"]
+
+
+def test_exports():
+    import mdframe
+
+    assert all(callable(getattr(mdframe, n)) or n == "scalar_functions" for n in mdframe.__all__)
+    assert "upper" in mdframe.scalar_functions
+    reads = mdframe.prefilter("select title, h1[0].title where status = 'x' and file().size > 1")
+    assert reads.body and reads.metadata and reads.elements == {"h1"} and not mdframe.prefilter("select title").body
+
+
+def test_one_parse(spark, tmp_path):
+    e = engine(spark, make(tmp_path, {"a.md": BODY}))
+    plan = e.explain("select grep(/barrels/).count() as a, grep(/rats/i)[0].line as b, outline() as c, body.outline as d, h1[0].title as e, link.count() as f").split("== Physical Plan ==")[1]
+    assert plan.count("ArrowEvalPython") == 1
+    got = rows(e, "select grep(/barrels/).count() as a, grep(/rats/i).count() as b, outline(1) as c")
+    assert got == [{"a": 1, "b": 1, "c": "└── Provisions"}]
+
+
 def test_hooks_and_functions(spark, tmp_path):
     folder = make(tmp_path, TASKS)
     seen = []
@@ -234,7 +298,7 @@ def test_hooks_and_functions(spark, tmp_path):
     from pyspark.sql import functions as F
 
     e.register_function("shout", lambda c: F.concat(F.upper(c), F.lit("!")))
-    assert [r["s"] for r in rows(e, "select shout(title) as s where me = 'jane' order by id")] == ["TEST TASK!", "ANOTHER TASK!"]
+    assert [r["s"] for r in rows(e, "select shout(title) as s where me = 'jane' order by id")] == ["WEIGH ANCHOR!", "TRIM BALLAST!"]
     assert seen
 
 
@@ -243,9 +307,9 @@ def test_cli(spark, tmp_path, capsys):
 
     folder = make(tmp_path, TASKS)
     assert main(["--dir", folder, "--json", "select title where id = 1"], spark) == 0
-    assert json.loads(capsys.readouterr().out)["data"] == [{"title": "Test Task"}]
+    assert json.loads(capsys.readouterr().out)["data"] == [{"title": "Weigh anchor"}]
     assert main(["--dir", folder, "-o", str(tmp_path / "out" / "x.csv"), "select id, title order by id limit 1"], spark) == 0
-    assert (tmp_path / "out" / "x.csv").read_text() == "id,title\n1,Test Task\n"
+    assert (tmp_path / "out" / "x.csv").read_text() == "id,title\n1,Weigh anchor\n"
     assert main(["--dir", folder, "delete"], spark) == 1
     assert "delete requires a where clause" in capsys.readouterr().err
     assert main(["--dir", str(tmp_path / "no"), "select"], spark) == 1
