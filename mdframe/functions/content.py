@@ -26,6 +26,8 @@ BARE = frozenset(ELEMENT_FIELD) | {"toc", "links", "images", "codeblocks", "sect
 NAMES = BARE | {"section", "has_section", "content", "grep"}
 #: What needs a parse of the inline level too.
 INLINE = frozenset("link linkRef image imageRef inlineCode em strong del break footnote links images html table tableRow tableCell p listItem blockquote list".split())
+#: Of these, blocks of which only the text is read, and what holds it.
+TEXT_OF = {"table": "table", "tableRow": "table", "tableCell": "table", "p": "paragraph", "listItem": "listItem", "list": "listItem", "blockquote": "blockquote"}
 PLACES = {name: f"el_{name}" for name in ELEMENT_FIELD}
 
 
@@ -59,10 +61,12 @@ def index_column(body: Column, used: set[str], scans: dict[str, tuple] | None =
     kind = T.StructType(shown + [T.StructField(n, GREP_TYPE if s[0] == "grep" else STRING) for n, s in scans.items()] or [INDEX_TYPE["headings"]])
     names, inline = [f.name for f in shown], bool(used & INLINE) or any(s[0] == "grep" for s in scans.values())
 
+    texts = None if any(s[0] == "grep" for s in scans.values()) or used & INLINE - set(TEXT_OF) else frozenset(TEXT_OF[n] for n in used & set(TEXT_OF))
+
     def read(text: str | None) -> dict:
         if not scans:
-            return parse_index(text, inline)
-        walker = Walker(text, inline).run() if text else None
+            return parse_index(text, inline, texts)
+        walker = Walker(text, inline, texts).run() if text else None
         out = walker.out if walker else parse_index(None)
         extra = {}
         for name, (what, *args) in scans.items():

@@ -96,8 +96,8 @@ def sentences(text: str) -> list[str]:
 class Walker:
     """Walks blocks and inlines in order of the source and gathers elements."""
 
-    def __init__(self, source: str, inline: bool) -> None:
-        self.source, self.inline = source, inline
+    def __init__(self, source: str, inline: bool, within: frozenset[str] | None = None) -> None:
+        self.source, self.inline, self.within = source, inline, within
         self.blocks = parse_blocks(lines_of(source))
         self.references, self.footnotes = set(), set()
         self._names(self.blocks)
@@ -125,10 +125,13 @@ class Walker:
         """Text of inline content; its elements are gathered."""
         if not self.inline:
             return ""  # headings read their titles themselves
+        if self.within is not None and not any(a["type"] in self.within for a in ancestors):
+            return ""
         text = "\n".join(x.text for x in lines)
         nodes = parse_inlines(text, self.references, self.footnotes)
         whole = plain(nodes)
-        self.gather(nodes, Places(lines), whole, ancestors)
+        if self.within is None:
+            self.gather(nodes, Places(lines), whole, ancestors)
         return whole
 
     def gather(self, nodes: list[Inline], places: Places, paragraph: str, ancestors: list[dict]) -> None:
@@ -262,11 +265,12 @@ def _sentence(paragraph: str, text: str) -> str | None:
     return next((s for s in sentences(paragraph) if text in s), None)
 
 
-def parse_index(body: str | None, inline: bool = True) -> dict:
-    """Elements of a body by the fields of ``INDEX_TYPE``; all empty for a null or empty body. Without ``inline`` only blocks are read."""
+def parse_index(body: str | None, inline: bool = True, within: frozenset[str] | None = None) -> dict:
+    """Elements of a body by the fields of ``INDEX_TYPE``; all empty for a null or empty body. Without ``inline`` only blocks are read; ``within``
+    names kinds of blocks whose text alone is read, without the elements in it."""
     if not body:
         return {f: [] for f in INDEX_TYPE.fieldNames()}
-    return Walker(body, inline).run().out
+    return Walker(body, inline, within).run().out
 
 
 def grep_text(body: str | None, pattern: str, flags: str = "") -> list[dict]:

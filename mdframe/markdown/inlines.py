@@ -10,6 +10,8 @@ AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}
 HTML = re.compile(r"<(?:/?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|!--.*?--|\?.*?\?|![A-Z][^>]*)>", re.S)
 BARE_URL = re.compile(r"(?:https?://|www\.)[^\s<]*[^\s<?!.,:*_~'\")\]]")
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+#: Where something other than plain text may begin.
+SPECIAL = re.compile(r"[\\\n`<\[*_~]|!(?=\[)|h(?=ttps?://)|w(?=ww\.)")
 PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 DESTINATION = re.compile(r"\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\)))?\s*\)", re.S)
 
@@ -86,6 +88,10 @@ class Reader:
                 out.append(Inline("text", held, upto, _unescape(text[held:upto])))
 
         while at < end:
+            special = SPECIAL.search(text, at, end)
+            if special is None:
+                break
+            at = special.start()
             c = text[at]
             node = None
             if c == "\\" and at + 1 < end:
