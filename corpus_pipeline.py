@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mdframe.llm.bpe import digest_documents
-from mdframe.llm.common import staged, table, tune
+from mdframe.llm.common import staged, table, tune, unstage
 from mdframe.llm.decontaminate import keep_uncontaminated
 from mdframe.llm.minhash import keep_one
 from mdframe.llm.quality import fit_quality, keep_good
@@ -60,5 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
