@@ -200,19 +200,23 @@ def test_windows_cover_every_byte(monkeypatch):
             assert (one, p) == ("und", 0.0)
 
 
+def plain_statistics(t):
+    words = regex.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ").split(" ")
+    lines, chars = t.split("\n"), max(1, len(t))
+    share = lambda p: len(regex.findall(p, t)) / chars
+    return {
+        "log_chars": math.log1p(len(t)), "word_chars": len(t) / len(words), "fresh_words": len(set(words)) / math.sqrt(len(words)),
+        "repeated_words": 1 - len(set(words)) / len(words), "repeated_lines": 1 - len(set(lines)) / len(lines), "line_words": math.log1p(len(words) / len(lines)),
+        "capitals": share(r"\p{Lu}"), "symbols": share(r"[^\p{L}\p{N} \t\n\x0b\f\r.,]"), "bars": share(r"\|"), "stops": share(r"\."), "digits": share(r"\p{Nd}"),
+    }
+
+
 def test_statistics_equal_plain_counts(spark, odd):
     names = list(quality.statistics(F.col("text")))
     rows = odd.select("text", *[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).collect()
     for r in rows:
         t = r["text"] or ""
-        words = regex.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ").split(" ")
-        lines, chars = t.split("\n"), max(1, len(t))
-        share = lambda p: len(regex.findall(p, t)) / chars  # noqa: B023, E731
-        want = {
-            "log_chars": math.log1p(len(t)), "word_chars": len(t) / len(words), "fresh_words": len(set(words)) / math.sqrt(len(words)),
-            "repeated_words": 1 - len(set(words)) / len(words), "repeated_lines": 1 - len(set(lines)) / len(lines), "line_words": math.log1p(len(words) / len(lines)),
-            "capitals": share(r"\p{Lu}"), "symbols": share(r"[^\p{L}\p{N} \t\n\x0b\f\r.,]"), "bars": share(r"\|"), "stops": share(r"\."), "digits": share(r"\p{Nd}"),
-        }
+        want = plain_statistics(t)
         assert list(want) == names
         for k in names:
             assert math.isclose(r[k], want[k], rel_tol=1e-9, abs_tol=1e-12), (k, t[:40])
