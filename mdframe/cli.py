@@ -109,7 +109,7 @@ def run(argv: list[str] | None, spark) -> int:
         trim = pick(a.trim, "trim", "*")
         options = {
             "compact": pick(a.compact, "compact", False), "most_lines": pick(a.rows, "rows", None), "spec": pick(a.columns, "columns", None),
-            "trim": trim or None, "form": pick(a.title_format, "titleFormat", "upper"), "normalize": pick(a.normalize, "normalize", True), "color": header_color(a.color, config),
+            "trim": trim or None, "titles": pick(a.title_format, "titleFormat", "upper"), "normalize": pick(a.normalize, "normalize", True), "color": header_color(a.color, config),
         }
     if a.parts:
         if not a.out or form not in ("csv", "json") or result.frame is None:

@@ -204,13 +204,13 @@ def widths(natural: list[int], room: int, spec: str | None = None) -> list[int]:
 
 def to_table(
     rows: list[dict], columns: list[str], compact: bool = False, most_lines: int | None = None, spec: str | None = None,
-    trim: str | None = "*", form: str = "upper", normalize: bool = True, total: int | None = None, color: str | None = None,
+    trim: str | None = "*", titles: str = "upper", normalize: bool = True, total: int | None = None, color: str | None = None,
 ) -> str:
     """A box-drawing table; ``No results`` for none. ``compact`` leaves out rules between rows and spaces before cells."""
     if not rows:
         return "No results"
     keep = [trim is not None and (trim == "*" or (trim.split(",") + ["0"] * len(columns))[i].strip() == "1") for i in range(len(columns))]
-    heads = [header(c, form, normalize) for c in columns]
+    heads = [header(c, titles, normalize) for c in columns]
     cells = [[trim_all(cell(r.get(c))) if keep[i] else cell(r.get(c)) for i, c in enumerate(columns)] for r in rows]
     left = "" if compact else " "
     padding = 1 if compact else 2

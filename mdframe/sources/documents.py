@@ -240,13 +240,15 @@ def _arrow() -> pa.Schema:
 
 def read_documents(
     spark: SparkSession, directories: tuple[str, ...] | list[str], depth: int = 0, hidden: bool = False, ignore: bool = True,
-    files: list[str] | None = None, stat: bool = True,
+    files: list[str] | None = None, stat: bool = True, stage: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and errors of directories, or of ``files``.
 
     A column for each frontmatter key, of the type that all its values share; ``__keys`` has the keys that a document holds, and ``__ord`` its place in
     the order of discovery. A file that cannot be read or parsed is a row ``(path, error, phase)`` of the errors, and so is a missing directory.
-    Directories with a scheme are listed and read by Spark; local ones are listed here, and read in tasks of ``FILES_A_TASK`` files.
+    Directories with a scheme are listed and read by Spark; local ones are listed here, and read in tasks of ``FILES_A_TASK`` files. Files are read
+    once for the types of their keys and again by each query, so that queries see files as they are; with ``stage``, a new folder that all workers
+    see, they are read once and queries read the Parquet files written there.
     """
     errors, parts = [], []
     listed: list[tuple[str, str, str, str, int]] = []
@@ -270,6 +272,9 @@ def read_documents(
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.union(p)
+    if stage is not None:
+        raw.write.parquet(stage)
+        raw = spark.read.schema(raw.schema).parquet(stage)
     kinds: dict[str, set[str]] = {}
     for (pair,) in raw.select(F.explode("kinds")).distinct().collect():  # keys and types, not documents
         name, _, kind = pair.partition("\0")

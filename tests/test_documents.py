@@ -190,6 +190,14 @@ def test_many_directories(spark, tmp_path):
     assert [r["title"] for r in rows(remote, "select title, path")] == ["Alpha"]
 
 
+def test_staged_directory(spark, tmp_path):
+    folder = make(tmp_path / "notes", TASKS)
+    e = engine(spark, folder, stage=str(tmp_path / "stage"))
+    os.unlink(os.path.join(folder, "anchor.md"))
+    assert [r["title"] for r in rows(e, "select title order by title")] == ["Mark chart", "Trim ballast", "Weigh anchor"]
+    assert "MapInArrow" not in e.explain("select title") and rows(e, "select h1.count() as n, file().size > 0 as s limit 1") == [{"n": 0, "s": True}]
+
+
 def test_empty_directory(spark, tmp_path):
     assert rows(engine(spark, tmp_path), "select filename") == []
 
@@ -315,3 +323,30 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["--dir", str(tmp_path / "no"), "select"], spark) == 1
     assert merge_dirs(["--dir", "a,", "b", "q"]) == ["--dir", "a,b", "q"]
     assert expand_dir("~") == os.path.expanduser("~")
+
+
+def test_cli_input_and_flags(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from mdframe.cli import main
+
+    folder = make(tmp_path / "notes", TASKS)
+
+    def run(*argv, text="", answers=None):
+        stdin = io.StringIO(text)
+        stdin.isatty = lambda: answers is not None
+        monkeypatch.setattr("sys.stdin", stdin)
+        monkeypatch.setattr("builtins.input", lambda _: answers)
+        code = main(["--dir", folder, *argv], spark)
+        return code, *capsys.readouterr()
+
+    assert json.loads(run("--json", "-", text="select id where id = 2")[1])["data"] == [{"id": 2}]
+    assert run("--csv", "-f", "-", "select path", text="anchor.md\nchart.md\n")[1].split() == ["path", "anchor.md", "chart.md"]
+    assert run("--csv", "-f", "chart.md", "select path")[1].split() == ["path", "chart.md"]
+    assert "FLEET" in run("--no-color", "select fleet")[1] and "Fleet" in run("--title-format", "capitalize", "select fleet")[1]
+    assert run("--compact", "--rows", "1", "--columns", "6", "select title")[1].count("\n") == 7
+    assert run("update where id = 1 set priority = 9")[0] == 1 and run("update where id = 1 set priority = 9", answers="n")[0] == 1
+    assert run("update where id = 1 set priority = 9", answers="y")[:2] == (0, "1 updated\n") and run("-y", "delete where id = 1")[0] == 0
+    assert run("--parts", "select id")[0] == 1 and run("--parts", "--json", "-o", str(tmp_path / "parts"), "select id, title")[0] == 0
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "parts")).collect()) == [2, 3]
+    assert run("", text="")[0] == 1 and run("select (")[0] == 1
