@@ -88,6 +88,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _linked(rows: pa.Table, left: np.ndarray, right: np.ndarray, dim: int, cosine: float) -> pa.Table:
+    """Rows ``(id, n, root)`` of what :func:`join_block` finds."""
+    ids = rows.column("id").to_numpy()
+    counts, linked, roots = join_block(ids, rows.column("w").to_numpy(), _matrix(rows.column("v").combine_chunks(), dim), left, right, cosine)
+    some = np.flatnonzero(counts)
+    return pa.table({
+        "id": pa.array(np.r_[ids[some], linked]), "n": pa.array(np.r_[counts[some], np.zeros(len(linked), "i8")]), "root": pa.array(np.r_[ids[some], roots]),
+    })
+
+
 def _of_dimension(classes: DataFrame, dim: int, cosine: float, kind: str) -> DataFrame:
     """``(id, n, root)`` rows of blocks for the vectors of one dimension; n is null in rows that only give a root."""
     own = classes.where(F.size("v") == dim)
@@ -150,17 +160,8 @@ def _of_dimension(classes: DataFrame, dim: int, cosine: float, kind: str) -> Dat
                 )
 
     def block(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        get = lambda name: rows.column(name).to_numpy()
-        home = get("at_home").astype(bool)
-        ids, weights = get("id"), get("w")
-        vectors = _matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float32() if kind == "float" else pa.float64())), dim)
-        counts, linked, roots = join_block(ids, weights, vectors, home, ~home, cosine)
-        some = np.flatnonzero(counts)
-        return pa.table({
-            "id": pa.array(np.r_[ids[some], linked]), "n": pa.array(np.r_[counts[some], np.zeros(len(linked), "i8")]),
-            "root": pa.array(np.r_[ids[some], roots]),
-        })
+        home = rows.column("at_home").to_numpy().astype(bool)
+        return _linked(rows.combine_chunks(), home, ~home, dim, cosine)
 
     spread_out = own.mapInArrow(spread, f"cell long, i int, j int, at_home boolean, id long, w long, v array<{kind}>")
     return spread_out.groupBy("cell", "i", "j").applyInArrow(block, "id long, n long, root long")
@@ -182,13 +183,17 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
     rows = rows.withColumn("d", F.sha2(F.to_binary(F.array_join(F.transform("v", lambda x: F.hex(F.xxhash64(x))), ""), F.lit("utf-8")), 256))
     given = staged(rows, "vectors")
     classes = staged(given.where("v is not null").groupBy("d").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v")), "classes")
-    dims = [r[0] for r in classes.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
-    found = None
+    # vectors of lengths that few have are a group each; only the lengths of more vectors than a block holds need pivots
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    dims = sorted(r[0] for r in lengths.where(F.col("n") > HOME_BLOCK).collect())
+    few = classes.select("id", "w", "v", F.size("v").alias("dim")).join(lengths.where(F.col("n") <= HOME_BLOCK).select("dim"), "dim")
+
+    def whole(rows: pa.Table) -> pa.Table:
+        return _linked(rows.combine_chunks(), np.ones(rows.num_rows, bool), np.ones(rows.num_rows, bool), rows.column("dim")[0].as_py(), cosine)
+
+    found = few.select("id", "w", "v", "dim").groupBy("dim").applyInArrow(whole, "id long, n long, root long")
     for dim in dims:
-        part = _of_dimension(classes.select("id", "w", "v"), dim, cosine, kind)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "id long, n long, root long")
+        found = found.union(_of_dimension(classes.select("id", "w", "v"), dim, cosine, kind))
     found = staged(found, "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -51,6 +51,14 @@ def test_random_clusters(spark, monkeypatch):
     check(spark, list(enumerate(rows[:60])), "double")
 
 
+def test_many_lengths(spark):
+    """Lengths that few vectors have go through no pivots, whatever their number."""
+    rng = np.random.default_rng(5)
+    rows = [rng.normal(size=1 + k % 40).tolist() for k in range(160)]
+    rows += [(np.array(r) * (1 + rng.normal(scale=0.05, size=len(r)))).tolist() for r in rows[:60]]
+    check(spark, list(enumerate(rows)))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0]), (10, [-1.0, -2.0]), (11, [1.0, 2.0, 0.0]), (12, [-0.0, 1.0]), (13, [0.0, 1.0]), (None, [1.0, 2.0])]
