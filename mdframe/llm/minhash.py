@@ -25,10 +25,11 @@ from mdframe.llm.common import connected_components, is_empty, staged, table, tu
 
 COMPONENTS = 64
 BITS = 16
-CHUNKS = 13
+CHUNKS = 16
+#: Of pairs at a similarity of exactly 0.8 less than one in ten million is farther apart, of those at 0.85 less than one in 10^11.
 RADIUS = 2 * CHUNKS - 1
-#: Signatures farther apart than this are not compared in full: at a similarity of 0.8 one pair in a million is.
-FARTHEST = 29
+#: Signatures farther apart than this are not compared in full.
+FARTHEST = RADIUS
 #: Members of a run in a block; longer runs are dealt to all pairs of their blocks.
 LONGEST_RUN = 1024
 #: Rows of a run that the scan holds at once.
