@@ -26,7 +26,7 @@ from mdframe.llm.common import connected_components, is_empty, staged, table, tu
 COMPONENTS = 64
 BITS = 16
 CHUNKS = 16
-#: Of pairs at a similarity of exactly 0.8 less than one in ten million is farther apart, of those at 0.85 less than one in 10^11.
+#: Of pairs at a similarity of exactly 0.8 less than one in ten million is farther apart, of those at 0.85 less than one in 10^10.
 RADIUS = 2 * CHUNKS - 1
 #: Signatures farther apart than this are not compared in full.
 FARTHEST = RADIUS
