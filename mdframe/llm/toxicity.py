@@ -252,6 +252,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     return w
 
 
+def learn_patterns(x: np.ndarray, y: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+    """Weights of patterns from log sums of each pattern's words (and the log number of words in the last column of ``x``).
+
+    They are drawn to the weights of the grammar's arcs, on the scale of the patterns that the labels speak of most; what none speaks of keeps its weight.
+    """
+    seen = (x[:, :-1] > 0).sum(axis=0)
+    scale = fit_logistic(np.c_[x[:, :-1] @ arcs, x[:, -1]], y)[0]
+    for _ in range(4):
+        if scale <= 0 or not seen.any():
+            return arcs
+        learned = fit_logistic(x, y, around=np.r_[scale * arcs, 0.0])[:-2]
+        used, scale = scale, float(seen @ learned / (seen @ arcs))
+    return np.clip(learned / used, 0.25 * arcs, 4 * arcs)
+
+
 def forms_of(text: str) -> set[str]:
     """Words of a text and their starts."""
     forms = set()
@@ -354,9 +369,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> To
         return np.array([r[2] for r in got]), np.array([float(r[1]) for r in got])
 
     x, y = seen(lambda clauses, words: [*np.log1p(sums(clauses, len(grammar.patterns))), math.log1p(words)])
-    learned = fit_logistic(x, y, around=np.r_[grammar.weights, 0.0])[:-2]
-    base = learned[grammar.index[PHRASE]]
-    patterns = np.clip(learned / base, 0.05, 4.0) if base > 0 else grammar.weights
+    patterns = learn_patterns(x, y, grammar.weights)
     x, y = seen(lambda clauses, words: statistics(clauses, words, patterns))
     unstage(rows)
     return ToxicityModel(lexicons[2], grammar, patterns, fit_logistic(x, y))
