@@ -62,8 +62,10 @@ def format_windows(rows: DataFrame, budget: int = BUDGET, history_tokens: int =
     budget, but at least half of it is for own turns, however long the system turn, and a turn too long for that has a window for
     itself. Other columns are ignored; an empty table has no windows.
     """
+    # the id as text that is never null, to join on; turns and parts read the same columns, so that they share one shuffle
+    conv_id = F.when(F.col("c") != "", F.substr("c", F.lit(2))).cast(rows.schema["conv_id"].dataType)
     rows = rows.select(
-        "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.floor(F.col("turn").cast("long") / PART), F.lit(-(2**62))).alias("part"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
     )
@@ -89,7 +91,7 @@ def format_windows(rows: DataFrame, budget: int = BUDGET, history_tokens: int =
     own = F.greatest(F.lit(budget // 2), F.lit(budget - history_tokens) - reserved, F.lit(1))
     after = lambda k: F.get("after", F.lit(k))
     turns = turns.select(
-        "conv_id", "role", "body", "tokens", (F.col("before") + F.col("upto")).alias("place"), (F.col("opens") & (F.col("n") == 1) & system).alias("is_system"),
+        conv_id.alias("conv_id"), "role", "body", "tokens", (F.col("before") + F.col("upto")).alias("place"), (F.col("opens") & (F.col("n") == 1) & system).alias("is_system"),
         F.when(system, F.col("opening")).alias("system"), reserved.alias("reserved"), F.floor(own / 8).alias("small"), (own - F.floor(own / 8)).alias("length"),
         F.coalesce("next1", after(0)).alias("next1"), F.when(F.col("next1").isNull(), after(1)).otherwise(F.coalesce("next2", after(0))).alias("next2"),
     )
