@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdframe.catalog_files import FILES
+from mdframe.catalog_output import OUTPUT
 from mdframe.engine import Engine
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
@@ -371,8 +372,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, name=name: run(spark, sf_dir, name)) for name in CATALOG} | {name: query for name, (query, _) in FILES.items()}
+    return {name: (lambda spark, sf_dir, name=name: run(spark, sf_dir, name)) for name in CATALOG} | {name: query for name, (query, _) in (FILES | OUTPUT).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (CATALOG | FILES).items()}
+    return {name: sql for name, (_, sql) in (CATALOG | FILES | OUTPUT).items()}

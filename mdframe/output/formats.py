@@ -132,6 +132,9 @@ def wrap(text: str, size: int) -> list[str]:
     """Lines of at most ``size`` columns, broken between words, and within words that are longer."""
     out = []
     for line in text.split("\n"):
+        if width(line) <= size:  # blanks at its start stay
+            out.append(line)
+            continue
         now = ""
         for word in line.split(" "):
             trial = f"{now} {word}" if now else word
