@@ -1,7 +1,7 @@
 import numpy as np
 
 from mdframe.llm.common import local_path, new_path
-from mdframe.llm.shards import END_OF_TEXT, LENGTH, _encoding, feistel, read_slots, write_shards
+from mdframe.llm.shards import END_OF_TEXT, LENGTH, _encoding, _packed, _unpacked, feistel, read_slots, write_shards
 
 
 def test_permutation():
@@ -11,6 +11,13 @@ def test_permutation():
     assert (a != b).any() and (a == feistel(np.arange(1000), 1000, 1)).all()
 
 
+def test_packing():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 70):
+        rows = [(int(s), None if k % 5 == 3 else int(d), int(q), rng.integers(0, 50257, c).astype("<u2").tobytes()) for k, (s, d, q, c) in enumerate(zip(rng.integers(0, 2**62, n), rng.integers(-(2**63), 2**63 - 1, n), rng.integers(0, 2**31 - 1, n), rng.integers(1, LENGTH + 1, n), strict=True))]
+        assert _unpacked(_packed(rows), n) == rows
+
+
 def test_shards(spark, odd, empty):
     folder = new_path(spark, "shards")
     rows = write_shards(odd.repartition(3), folder, shard_size=64).collect()
