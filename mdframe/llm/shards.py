@@ -30,6 +30,8 @@ SHARDS_A_TASK = 64
 GATHERED = 32 << 20
 #: Effort of zstd on tokens between stages, staged and shuffled: they are written once and read once, and disk is scarcer than CPU there.
 LEVEL, BLOB_LEVEL = 9, 15
+#: Bytes that staged tokens are compressed by: texts repeat one another over longer stretches than Parquet's usual page.
+PAGE_BYTES = 8 << 20
 KEY = 20240607
 ROUNDS = 6
 
@@ -152,7 +154,7 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     """
     tokens = _tokens(docs, key, text, path)
     staging = scratch(docs.sparkSession, "tokens")
-    tokens.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).parquet(staging)
+    tokens.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).option("parquet.page.size", str(PAGE_BYTES)).parquet(staging)
     held = docs.sparkSession.read.schema(tokens.schema).parquet(staging)
     total, before = 0, {}
     for part, k in sorted(held.groupBy("part").agg(F.sum("k")).collect()):  # a row for each partition of the input
