@@ -28,6 +28,10 @@ BITS = 16
 CHUNKS = 16
 #: Of pairs at a similarity of exactly 0.8 less than one in ten million is farther apart, of those at 0.85 less than one in 10^10.
 RADIUS = 2 * CHUNKS - 1
+#: Keys of the index by which most near copies meet; the others then need not bring those together again.
+FIRST_KEYS = 4
+#: Pairs that a task remembers so as not to write them again.
+SEEN_PAIRS = 1_000_000
 #: Signatures farther apart than this are not compared in full.
 FARTHEST = RADIUS
 #: Members of a run in a block; longer runs are dealt to all pairs of their blocks.
@@ -139,13 +143,13 @@ def sign(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
+def _keyed(classes: DataFrame, part: slice) -> DataFrame:
     def run(it):
         for batch in it:
             if not len(batch):
                 continue
             sig = np.frombuffer(b"".join(x[: 2 * COMPONENTS] for x in batch.column(1).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-            keys = index_keys(sig).view(np.int64)
+            keys = np.ascontiguousarray(index_keys(sig)[:, part]).view(np.int64)
             ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
@@ -204,30 +208,34 @@ def _near(sig: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarra
         own, some = sig[start : start + size], ids[start : start + size]
         pairs = [np.argwhere((own[r : r + 64, None] != own[None]).sum(axis=2) <= FARTHEST) + [r, 0] for r in range(0, size, 64)]
         x, y = np.concatenate(pairs).T
-        found.append(np.stack([some[spanning(size, x, y)], some], 1))
+        known, place = np.unique(some, return_inverse=True)  # members of one component are one vertex
+        found.append(np.stack([known[spanning(len(known), place[x], place[y])], known], 1))
     found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     return np.unique(found[found[:, 0] != found[:, 1]], axis=0)
 
 
 def _compare(it):
-    """Of rows (block, id, short signature) sorted by block: trees of the close pairs of each block."""
-    held = None
+    """Of rows (block, id, component, short signature) sorted by block: trees of the close pairs of each block, as pairs of components."""
+    held, seen = None, set()
+
+    def fresh(found: np.ndarray):
+        new = [p for p in map(tuple, found.tolist()) if p not in seen]
+        seen.update(new if len(seen) < SEEN_PAIRS else ())
+        if new:
+            yield _pairs(np.array(new, np.int64))
+
     for batch in it:
         if not len(batch):
             continue
-        k, i = (batch.column(c).to_numpy() for c in (0, 1))
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+        k, c = (batch.column(x).to_numpy() for x in (0, 2))
+        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COMPONENTS)
         if held is not None:
-            k, i, sig = (np.concatenate(x) for x in zip(held, (k, i, sig), strict=True))
+            k, c, sig = (np.concatenate(x) for x in zip(held, (k, c, sig), strict=True))
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        found = _near(sig, i, starts[:-1], np.diff(starts))
-        if len(found):
-            yield _pairs(found)
-        held = k[starts[-1] :], i[starts[-1] :], sig[starts[-1] :]
+        yield from fresh(_near(sig, c, starts[:-1], np.diff(starts)))
+        held = k[starts[-1] :], c[starts[-1] :], sig[starts[-1] :]
     if held is not None:
-        found = _near(held[2], held[1], np.array([0]), np.array([len(held[0])]))
-        if len(found):
-            yield _pairs(found)
+        yield from fresh(_near(held[2], held[1], np.array([0]), np.array([len(held[0])])))
 
 
 def _pairs(found: np.ndarray) -> pa.RecordBatch:
@@ -332,6 +340,27 @@ def _salted(members: DataFrame, of_groups: DataFrame) -> DataFrame:
     return members.withColumn("salt", salt).join(of_groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"]).drop("salt")
 
 
+def _near_pairs(classes: DataFrame, named: DataFrame, part: slice, known: DataFrame | None) -> DataFrame:
+    """Trees ``(a, b)`` of the pairs of signatures within ``FARTHEST`` that share a key of a part of the index.
+
+    ``known`` has ``(id, component)`` of what is together already: then runs within one component are left out, and trees join components.
+    """
+    keyed = _keyed(classes, part).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    runs = staged(keyed.mapInArrow(_scan, "kind int, a long, b long"), "runs")
+    members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+    twos = runs.where("kind = 0").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("id"))
+    members = members.unionByName(twos)
+    of = members.join(known, "id", "left") if known is not None else members.withColumn("component", F.col("id"))
+    of = of.select("key", "id", F.coalesce("component", "id").alias("c"))
+    blocks = F.ceil(F.col("n") / LONGEST_RUN).cast("long")
+    counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", blocks.alias("blocks"))
+    met = of.join(counted, "key").select("id", "c", F.explode(_all_blocks("key", _own_block("id", "blocks"), F.col("blocks"))).alias("block"))
+    rows = met.join(named, "id").select("block", "id", "c", "sig")
+    near = staged(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long"), "near")
+    unstage(runs)
+    return near
+
+
 def _leaders(groups: DataFrame, named: DataFrame) -> DataFrame:
     """``(g, leader)``: of each group the member whose signature differs least from the commonest value of each component."""
     rows = groups.join(named, "id").select("g", "id", F.transform(F.sequence(F.lit(1), F.lit(COMPONENTS)), lambda p: F.substring("sig", p, F.lit(1))).alias("c"))
@@ -353,19 +382,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     classes = staged(
         signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes"
     )
-    keyed = _keyed(classes).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    runs = staged(keyed.mapInArrow(_scan, "kind int, a long, b long"), "runs")
-    members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
-    blocks = F.ceil(F.col("n") / LONGEST_RUN).cast("long")
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", blocks.alias("blocks"))
-    met = members.join(counted, "key").select("id", F.explode(_all_blocks("key", _own_block("id", "blocks"), F.col("blocks"))).alias("block"))
-    twos = runs.where("kind = 0").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("id"))
     named = classes.select("id", F.substring("sig", COMPONENTS * 2 + 1, COMPONENTS).alias("sig"))
-    rows = met.unionByName(twos).join(named, "id").select("block", "id", "sig")
-    near = staged(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long"), "near")
-    unstage(runs)
-    groups = staged(connected_components(near).select("id", F.col("component").alias("g")), "groups")
-    unstage(near)
+    keys = COMPONENTS  # of each chunk one for each component left out
+    first = _near_pairs(classes, named, slice(0, FIRST_KEYS), None)
+    known = staged(connected_components(first), "known")
+    rest = _near_pairs(classes, named, slice(FIRST_KEYS, keys), known)
+    linked = known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)
+    groups = staged(connected_components(linked).select("id", F.col("component").alias("g")), "groups")
+    for used in (first, known, rest):
+        unstage(used)
 
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     large = staged(_salted(groups, sizes.where(F.col("n") > BLOCK)), "large")
