@@ -19,11 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from mdframe.llm.common import table, tune
+from mdframe.llm.common import resting, slices, table, tune
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_PIECES = 1_000_000
+#: Pieces, and pairs of entries, that a task remembers, at most.
+CACHE_PIECES, CACHE_PAIRS = 500_000, 500_000
 CACHE_CHARS = 40
+#: Bytes of text whose ids are held at once: they are several times as large as the texts.
+BATCH_BYTES = 2 << 20
 
 #: The letters, numbers and white space below U+0100, for a faster splitter of Latin-1 texts.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -127,7 +130,7 @@ class BytePairEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave ``left`` and ``right`` side by side, memoised."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
         known = self.pairs[left << 32 | right] = self._compatible(left, right)
         return known
@@ -186,6 +189,11 @@ class BytePairEncoder:
         """Ids as little-endian unsigned 32-bit integers; a null text counts as empty."""
         return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
 
+    def forget(self) -> None:
+        """Drop what is remembered of pieces and pairs."""
+        self.pieces.clear()
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
@@ -212,7 +220,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in slices(batches, BATCH_BYTES):
             ids = [np.frombuffer(enc.encode_bytes(t), "<u4").astype("i4") for t in batch.column(1).to_pylist()]
             decoded = [enc.decode(x.tolist()) for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
@@ -221,9 +229,31 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(decoded, pa.binary())],
                 names=["k", "ids", "decoded"],
             )
+        enc.forget()
 
     out = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
-    return out.mapInArrow(run, "k long, ids array<int>, decoded binary").withColumnRenamed("k", key)
+    return out.mapInArrow(resting(run), "k long, ids array<int>, decoded binary").withColumnRenamed("k", key)
+
+
+def digested(batches, path: str | None = None, with_ids: bool = False):
+    """Record batches ``(k, text)`` to batches of :func:`digest_documents`; what was remembered of the texts goes at the end."""
+    enc = encoder(path)
+    for batch in slices(batches, BATCH_BYTES):
+        n, ids_sha, text_sha, raws = [], [], [], []
+        for t in batch.column(1).to_pylist():
+            raw = enc.encode_bytes(t)
+            n.append(len(raw) // 4)
+            ids_sha.append(hashlib.sha256(raw).hexdigest())
+            text_sha.append(hashlib.sha256(enc.decode(memoryview(raw).cast("I"))).hexdigest())
+            raws.append(raw)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype("i4")
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+    enc.forget()
 
 
 def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -231,27 +261,9 @@ def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
     ``with_ids`` adds the ids as an array.
     """
-    def run(batches):
-        enc = encoder(path)
-        for batch in batches:
-            n, ids_sha, text_sha, raws = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                raw = enc.encode_bytes(t)
-                n.append(len(raw) // 4)
-                ids_sha.append(hashlib.sha256(raw).hexdigest())
-                text_sha.append(hashlib.sha256(enc.decode(memoryview(raw).cast("I"))).hexdigest())
-                raws.append(raw)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype("i4")
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), "<i4"))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
     out = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
     schema = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return out.mapInArrow(run, schema).withColumnRenamed("k", key)
+    return out.mapInArrow(resting(lambda it: digested(it, path, with_ids)), schema).withColumnRenamed("k", key)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

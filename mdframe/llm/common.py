@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,34 @@ def tune(spark: SparkSession) -> None:
     ship(spark)
 
 
+def slices(it: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches with a bounded number of text bytes (column 1), so that what a task makes of them is bounded too; a longer text is one."""
+    for batch in it:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def rest() -> None:
+    """Give back to the system what the allocators of this process hold and do not use."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def resting(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``: a worker outlives its tasks, and what one has held would count beside the stages after it."""
+    def rested(it):
+        yield from run(it)
+        rest()
+
+    return rested
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

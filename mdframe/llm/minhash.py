@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import connected_components, is_empty, staged, table, tune, unstage
+from mdframe.llm.common import connected_components, is_empty, resting, slices, staged, table, tune, unstage
 
 COMPONENTS = 64
 BITS = 16
@@ -42,7 +42,7 @@ HELD_ROWS = 4096
 BLOCK = 128
 #: Parts to which the members of a large group are dealt where they meet what is known of their group.
 SALTS = 64
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,6 +70,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    """Drop the hashes of words in this process; a task's function would take a copy of ``_words`` itself along."""
+    _words.clear()
+
+
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``size``-word shingles of a text; a shorter text gives its whole sequence as one."""
     words = (text or b"").lower().split()
@@ -109,24 +114,10 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def _batches(it, most_bytes: int = 8 << 20):
-    """Slices of record batches with a bounded number of text bytes (column 1)."""
-    for batch in it:
-        sizes = np.diff(np.frombuffer(batch.column(1).buffers()[1], "<i4" if pa.types.is_binary(batch.column(1).type) else "<i8")[batch.column(1).offset :][: len(batch) + 1]) if len(batch) else []
-        start, held = 0, 0
-        for i, s in enumerate(sizes):
-            held += int(s)
-            if held > most_bytes:
-                yield batch.slice(start, i + 1 - start)
-                start, held = i + 1, 0
-        if start < len(batch):
-            yield batch.slice(start)
-
-
 def sign(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n, digest, sig)`` of each row; digest and sig are null where the set is empty."""
     def run(it):
-        for batch in _batches(it):
+        for batch in slices(it):
             sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full)) if full else iter(())
@@ -138,9 +129,10 @@ def sign(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") ->
                 ],
                 names=["doc_id", "n", "digest", "sig"],
             )
+        forget_words()
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+    return rows.mapInArrow(resting(run), "doc_id long, n long, digest binary, sig binary")
 
 
 def _keyed(classes: DataFrame, part: slice) -> DataFrame:
@@ -153,7 +145,7 @@ def _keyed(classes: DataFrame, part: slice) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(resting(run), "key long, id long")
 
 
 def _rows(kind: int, a, b) -> pa.RecordBatch:
@@ -294,13 +286,14 @@ def similar_sets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
 def _links(docs: DataFrame, placed: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     """Trees of the confirmed links among documents that share a block; ``placed`` has ``(id, at)``, the names of a document's blocks."""
     def deal(it):
-        for batch in _batches(it):
+        for batch in slices(it):
             ids, at = batch.column(0).to_numpy(), batch.column(2)
             packed = pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
             row, names = np.repeat(np.arange(len(ids)), at.value_lengths().to_numpy()), at.flatten().to_numpy()
             for s in range(0, len(row), 500):
                 r = row[s : s + 500]
                 yield pa.RecordBatch.from_arrays([pa.array(names[s : s + 500]), pa.array(ids[r]), packed.take(pa.array(r))], names=["block", "id", "s"])
+        forget_words()
 
     def confirm(it):
         held: list = []
@@ -330,8 +323,8 @@ def _links(docs: DataFrame, placed: DataFrame, size: int, percent: int, key: str
 
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").cast("binary").alias("t"))
     rows = rows.join(placed.hint("merge"), "id").select("id", "t", "at")
-    dealt = rows.mapInArrow(deal, "block long, id long, s binary").repartition("block").sortWithinPartitions("block", "id")
-    return dealt.mapInArrow(confirm, "a long, b long")
+    dealt = rows.mapInArrow(resting(deal), "block long, id long, s binary").repartition("block").sortWithinPartitions("block", "id")
+    return dealt.mapInArrow(resting(confirm), "a long, b long")
 
 
 def _salted(members: DataFrame, of_groups: DataFrame) -> DataFrame:
@@ -346,7 +339,7 @@ def _near_pairs(classes: DataFrame, named: DataFrame, part: slice, known: DataFr
     ``known`` has ``(id, component)`` of what is together already: then runs within one component are left out, and trees join components.
     """
     keyed = _keyed(classes, part).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    runs = staged(keyed.mapInArrow(_scan, "kind int, a long, b long"), "runs")
+    runs = staged(keyed.mapInArrow(resting(_scan), "kind int, a long, b long"), "runs")
     members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
     twos = runs.where("kind = 0").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("id"))
     members = members.unionByName(twos)
@@ -356,7 +349,7 @@ def _near_pairs(classes: DataFrame, named: DataFrame, part: slice, known: DataFr
     counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", blocks.alias("blocks"))
     met = of.join(counted, "key").select("id", "c", F.explode(_all_blocks("key", _own_block("id", "blocks"), F.col("blocks"))).alias("block"))
     rows = met.join(named, "id").select("block", "id", "c", "sig")
-    near = staged(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long"), "near")
+    near = staged(rows.repartition("block").sortWithinPartitions("block").mapInArrow(resting(_compare), "a long, b long"), "near")
     unstage(runs)
     return near
 

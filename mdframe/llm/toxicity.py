@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdframe.llm.common import staged, table, tune, unstage
+from mdframe.llm.common import rest, resting, staged, table, tune, unstage
 from mdframe.llm.labelled import held_out, sample_ids, with_rows
 from mdframe.llm.transducers import NONE, Transducer, compose
 
@@ -55,6 +56,8 @@ PREFIXES = range(4, 9)
 LEAST_ROWS, LEAST_ODDS, LEAST_Z = 4, 1.7, 3.3
 #: Words of a negation's reach, and between an announcement and its verb.
 REACH, NEAR = 3, 2
+#: Words that a task remembers, at most.
+WORDS_KEPT = 200_000
 
 
 class Lexicon:
@@ -100,7 +103,7 @@ class Lexicon:
             else:
                 best = self.whole.get(state, best)
             out = best
-            if len(self.known) > 500_000:
+            if len(self.known) >= WORDS_KEPT:
                 self.known.clear()
             self.known[word] = out
         return out
@@ -289,7 +292,7 @@ def count_forms(rows: DataFrame) -> DataFrame:
                 [pa.array(side, pa.int32()), pa.array(y, pa.int32()), pa.array(form, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["side", "y", "form", "n"]
             )
 
-    counted = rows.select("side", "y", "text").mapInArrow(run, "side int, y int, form string, n long")
+    counted = rows.select("side", "y", "text").mapInArrow(resting(run), "side int, y int, form string, n long")
     return counted.groupBy("side", "y", "form").agg(F.sum("n").alias("n"))
 
 
@@ -365,7 +368,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> To
                 found = [of(*read_text(t, crossed[s], grammar)) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(map(float, f)) for f in found], pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-        got = sorted(rows.mapInArrow(run, "doc_id long, y int, x array<double>").collect())
+        got = sorted(rows.mapInArrow(resting(run), "doc_id long, y int, x array<double>").collect())
         return np.array([r[2] for r in got]), np.array([float(r[1]) for r in got])
 
     x, y = seen(lambda clauses, words: [*np.log1p(sums(clauses, len(grammar.patterns))), math.log1p(words)])
@@ -383,18 +386,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
     def run(it):
         for batch in it:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"]
+                [batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"]
             )
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(resting(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that score below ``cut``, with all their columns."""
     @F.arrow_udf("double")
-    def scored(text: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in text.to_pylist()], pa.float64())
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array([model.score(t.as_py()) for t in text], pa.float64())  # one text at a time
+        rest()
 
     return docs.where(scored(F.col("text").cast("string")) < cut)
 

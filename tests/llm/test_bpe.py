@@ -2,11 +2,14 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mdframe.llm.bpe import digest_documents, encode_documents, encoder, merge_by_rank
+from mdframe.llm.bpe import BATCH_BYTES, digest_documents, digested, encode_documents, encoder, merge_by_rank
+
+from .conftest import prose
 
 ENC = encoder()
 REF = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ENC.ranks, special_tokens={})
@@ -43,3 +46,13 @@ def test_documents(odd, empty):
     whole = encode_documents(odd).where("doc_id = 4").collect()
     assert len(whole) == 2 and bytes(whole[0]["decoded"]).decode() == texts[4]
     assert digest_documents(empty).collect() == []
+
+
+def test_ids_of_a_large_batch_are_not_held_at_once():
+    """One batch as Spark makes them, ids and all in pieces of bounded size, and nothing remembered when the task is over."""
+    texts = [f"{prose(k, 400, 10**6)} é😀" if k % 7 else None for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts, pa.string())], names=["k", "t"])
+    made = list(digested(iter([batch.slice(0, 0), batch.slice(5)]), with_ids=True))
+    assert max(b.nbytes for b in made) < 2 * BATCH_BYTES < batch.nbytes and not ENC.pieces and not ENC.pairs
+    assert [k for b in made for k in b.column(0).to_pylist()] == list(range(5, 3000))
+    assert [i for b in made for i in b.column(4).to_pylist()] == [REF.encode_ordinary(t or "") for t in texts[5:]]
