@@ -5,9 +5,10 @@ of at most ``RADIUS`` must agree, but for one component, in one of ``CHUNKS`` ch
 signature is indexed under every chunk with every single component left out; equal keys find all pairs within the radius.
 
 Keys are range-partitioned on (key, id): no key is too hot for its task, as a run of equal keys may span tasks. Runs of two give a
-pair; the members of longer runs, and of runs that a border of partitions may have cut, are counted by key and dealt to pairs of
-blocks of bounded size, so that each pair of a run meets in some block. There signatures are compared, and trees of the close pairs
-remain: a dense run of n ids leaves n - 1 pairs. Their components are the groups in which links are confirmed on full sets. A large
+pair; the members of longer runs, and of runs that a border of partitions may have cut, are counted by key and dealt to
+blocks of bounded size. There signatures are compared, and trees of the close pairs remain: a dense run of n ids leaves n - 1 pairs.
+By a few keys, members first meet their block and some leaders of their run, which joins most near copies; then, by all keys, each pair
+of a run that is not joined meets in some block, and members of its largest component are sent to those of the others only. Components are the groups in which links are confirmed on full sets. A large
 group first meets its leader, the member nearest to the group's commonest signature, which costs one comparison a member. Members
 linked with the leader are of one component, whatever their other links; only the others still meet everyone, in pairs of blocks,
 and again only trees of the confirmed links leave a block. No list of all pairs is ever formed.
@@ -28,8 +29,10 @@ BITS = 16
 CHUNKS = 16
 #: Of pairs at a similarity of exactly 0.8 less than one in ten million is farther apart, of those at 0.85 less than one in 10^10.
 RADIUS = 2 * CHUNKS - 1
-#: Keys of the index by which most near copies meet; the others then need not bring those together again.
+#: Keys of the index, of different chunks, by which most near copies meet; all keys then need not bring those together again.
 FIRST_KEYS = 4
+#: Members of a long run, about, that meet all others in its first pass.
+LEADERS = 16
 #: Pairs that a task remembers so as not to write them again.
 SEEN_PAIRS = 1_000_000
 #: Signatures farther apart than this are not compared in full.
@@ -333,24 +336,59 @@ def _salted(members: DataFrame, of_groups: DataFrame) -> DataFrame:
     return members.withColumn("salt", salt).join(of_groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"]).drop("salt")
 
 
+def _met_leaders(of: DataFrame) -> DataFrame:
+    """``(id, c, block)`` of the members ``(key, id, c)`` of runs: each in a block of its own run's, and some, the leaders, in all of them.
+
+    A run of copies of one text becomes one component by that, at a row a member; pairs that meet in no block are left to :func:`_met`.
+    """
+    counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / LONGEST_RUN).cast("long").alias("blocks"), F.ceil(F.col("n") / LEADERS).cast("long").alias("one_in"))
+    leads = F.pmod(F.xxhash64("id", F.lit(11)), F.col("one_in")) == 0
+    own = F.array(F.xxhash64("key", _own_block("id", "blocks")))
+    at = F.when(leads, F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.xxhash64("key", o))).otherwise(own)
+    return of.join(counted, "key").select("id", "c", F.explode(at).alias("block"))
+
+
+def _met(of: DataFrame) -> DataFrame:
+    """``(id, c, block)``: any two members ``(key, id, c)`` of a run that are not of one component ``c`` meet in a block.
+
+    Members of a long run's largest component need not meet one another, so they are dealt to pairs with blocks of the others only.
+    """
+    counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
+    long = of.join(counted.where(F.col("n") > LONGEST_RUN).select("key"), "key").groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    long = long.groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"))
+    m = F.coalesce("most.m", F.lit(0))
+    mains, rest = F.ceil(m / LONGEST_RUN).cast("long"), F.greatest(F.ceil((F.col("n") - m) / LONGEST_RUN), F.lit(1)).cast("long")
+    runs = counted.join(long, "key", "left").select("key", F.col("most.c").alias("main"), mains.alias("mains"), rest.alias("rest"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_main = lambda o, k: F.xxhash64(F.col("key"), F.lit("main"), o, k)
+    own, all_rest = _own_block("id", "rest"), _all_blocks("key", _own_block("id", "rest"), F.col("rest"))
+    at = F.when(F.col("mains") == 0, all_rest).when(
+        F.col("c") == F.col("main"), F.transform(upto("rest"), lambda o: with_main(o, _own_block("id", F.greatest("mains", F.lit(1)))))
+    ).otherwise(F.concat(F.transform(upto("mains"), lambda k: with_main(own, k)), all_rest))
+    return of.join(runs, "key").select("id", "c", F.explode(at).alias("block"))
+
+
 def _near_pairs(classes: DataFrame, named: DataFrame, part: slice, known: DataFrame | None) -> DataFrame:
     """Trees ``(a, b)`` of the pairs of signatures within ``FARTHEST`` that share a key of a part of the index.
 
     ``known`` has ``(id, component)`` of what is together already: then runs within one component are left out, and trees join components.
+    Without it the members of a long run meet its leaders and their own block only.
     """
     keyed = _keyed(classes, part).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     runs = staged(keyed.mapInArrow(resting(_scan), "kind int, a long, b long"), "runs")
     members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
     twos = runs.where("kind = 0").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("id"))
     members = members.unionByName(twos)
-    of = members.join(known, "id", "left") if known is not None else members.withColumn("component", F.col("id"))
-    of = of.select("key", "id", F.coalesce("component", "id").alias("c"))
-    blocks = F.ceil(F.col("n") / LONGEST_RUN).cast("long")
-    counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", blocks.alias("blocks"))
-    met = of.join(counted, "key").select("id", "c", F.explode(_all_blocks("key", _own_block("id", "blocks"), F.col("blocks"))).alias("block"))
+    of = None
+    if known is None:
+        met = _met_leaders(members.withColumn("c", F.col("id")))
+    else:
+        of = staged(members.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "members")
+        met = _met(of)
     rows = met.join(named, "id").select("block", "id", "c", "sig")
     near = staged(rows.repartition("block").sortWithinPartitions("block").mapInArrow(resting(_compare), "a long, b long"), "near")
     unstage(runs)
+    unstage(of)
     return near
 
 
@@ -377,9 +415,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     )
     named = classes.select("id", F.substring("sig", COMPONENTS * 2 + 1, COMPONENTS).alias("sig"))
     keys = COMPONENTS  # of each chunk one for each component left out
-    first = _near_pairs(classes, named, slice(0, FIRST_KEYS), None)
+    first = _near_pairs(classes, named, slice(0, keys, keys // FIRST_KEYS), None)
     known = staged(connected_components(first), "known")
-    rest = _near_pairs(classes, named, slice(FIRST_KEYS, keys), known)
+    rest = _near_pairs(classes, named, slice(0, keys), known)
     linked = known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)
     groups = staged(connected_components(linked).select("id", F.col("component").alias("g")), "groups")
     for used in (first, known, rest):

@@ -156,3 +156,18 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_runs_of_copies_are_dealt_once(spark, monkeypatch):
+    """Of two runs with one large component, one without and a short one, all pairs that are not joined meet; copies do not multiply."""
+    monkeypatch.setattr(minhash, "LONGEST_RUN", 8)
+    of = [(1, i, 0 if i < 190 else i) for i in range(200)] + [(2, i, i) for i in range(30)] + [(3, 1, 1), (3, 2, 2), (4, 5, 0), (4, 6, 0)]
+    frame = spark.createDataFrame(of, "key long, id long, c long")
+    blocks = {}
+    for r in minhash._met(frame).collect():
+        blocks.setdefault(r["block"], set()).add((r["id"], r["c"]))
+    met = {p for b in blocks.values() for p in itertools.combinations(sorted(b), 2) if p[0][1] != p[1][1]}
+    assert met >= {((i, c), (j, d)) for k, i, c in of for q, j, d in of if k == q and i < j and c != d}
+    assert minhash._met(frame.where("key = 1")).count() < 2 * 190 + 10 * 30  # in pairs of blocks it would be 200 * 25
+    first = minhash._met_leaders(frame.where("key = 1")).collect()
+    assert {r["id"] for r in first} == set(range(200)) and len(first) < 200 + 25 * 40
