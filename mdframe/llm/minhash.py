@@ -336,29 +336,37 @@ def _salted(members: DataFrame, of_groups: DataFrame) -> DataFrame:
     return members.withColumn("salt", salt).join(of_groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"]).drop("salt")
 
 
-def _met_leaders(of: DataFrame) -> DataFrame:
+def _shape(of: DataFrame) -> DataFrame:
+    """``(key, n, main, m)`` of the runs with members ``(key, id, c)`` of two components or more: their length, largest component and its length."""
+    parts = of.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    runs = parts.groupBy("key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c")).alias("most"))
+    return runs.where("parts > 1").select("key", "n", F.col("most.c").alias("main"), F.col("most.m").alias("m"))
+
+
+def _met_leaders(of: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """``(id, c, block)`` of the members ``(key, id, c)`` of runs: each in a block of its own run's, and some, the leaders, in all of them.
 
     A run of copies of one text becomes one component by that, at a row a member; pairs that meet in no block are left to :func:`_met`.
+    ``shape`` is that of :func:`_shape`: from a file, as ``of``, so that AQE can split the join of a hot key.
     """
-    counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / LONGEST_RUN).cast("long").alias("blocks"), F.ceil(F.col("n") / LEADERS).cast("long").alias("one_in"))
+    shape = _shape(of) if shape is None else shape
+    counted = shape.select("key", F.ceil(F.col("n") / LONGEST_RUN).cast("long").alias("blocks"), F.ceil(F.col("n") / LEADERS).cast("long").alias("one_in"))
     leads = F.pmod(F.xxhash64("id", F.lit(11)), F.col("one_in")) == 0
     own = F.array(F.xxhash64("key", _own_block("id", "blocks")))
     at = F.when(leads, F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.xxhash64("key", o))).otherwise(own)
     return of.join(counted, "key").select("id", "c", F.explode(at).alias("block"))
 
 
-def _met(of: DataFrame) -> DataFrame:
+def _met(of: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """``(id, c, block)``: any two members ``(key, id, c)`` of a run that are not of one component ``c`` meet in a block.
 
     Members of a long run's largest component need not meet one another, so they are dealt to pairs with blocks of the others only.
+    The join has one row at most of each member of a run, as ``shape`` (see :func:`_met_leaders`) has one row of each run.
     """
-    counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
-    long = of.join(counted.where(F.col("n") > LONGEST_RUN).select("key"), "key").groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    long = long.groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"))
-    m = F.coalesce("most.m", F.lit(0))
+    shape = _shape(of) if shape is None else shape
+    m = F.when(F.col("n") > LONGEST_RUN, F.col("m")).otherwise(0)
     mains, rest = F.ceil(m / LONGEST_RUN).cast("long"), F.greatest(F.ceil((F.col("n") - m) / LONGEST_RUN), F.lit(1)).cast("long")
-    runs = counted.join(long, "key", "left").select("key", F.col("most.c").alias("main"), mains.alias("mains"), rest.alias("rest"))
+    runs = shape.select("key", "main", mains.alias("mains"), rest.alias("rest"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     with_main = lambda o, k: F.xxhash64(F.col("key"), F.lit("main"), o, k)
     own, all_rest = _own_block("id", "rest"), _all_blocks("key", _own_block("id", "rest"), F.col("rest"))
@@ -379,16 +387,16 @@ def _near_pairs(classes: DataFrame, named: DataFrame, part: slice, known: DataFr
     members = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
     twos = runs.where("kind = 0").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("id"))
     members = members.unionByName(twos)
-    of = None
     if known is None:
-        met = _met_leaders(members.withColumn("c", F.col("id")))
+        of = staged(members.withColumn("c", F.col("id")), "members")
     else:
         of = staged(members.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "members")
-        met = _met(of)
+    shape = staged(_shape(of), "shape")
+    met = (_met_leaders if known is None else _met)(of, shape)
     rows = met.join(named, "id").select("block", "id", "c", "sig")
     near = staged(rows.repartition("block").sortWithinPartitions("block").mapInArrow(resting(_compare), "a long, b long"), "near")
-    unstage(runs)
-    unstage(of)
+    for used in (runs, of, shape):
+        unstage(used)
     return near
 
 

@@ -171,3 +171,24 @@ def test_long_runs_of_copies_are_dealt_once(spark, monkeypatch):
     assert minhash._met(frame.where("key = 1")).count() < 2 * 190 + 10 * 30  # in pairs of blocks it would be 200 * 25
     first = minhash._met_leaders(frame.where("key = 1")).collect()
     assert {r["id"] for r in first} == set(range(200)) and len(first) < 200 + 25 * 40
+
+
+def rows_joined(plan):
+    """Rows that the joins of a finished plan have made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_joined(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return rows_joined(plan.plan())
+    children = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(rows_joined(children.apply(k)) for k in range(children.size()))
+
+
+def test_members_of_long_runs_are_joined_once(spark, monkeypatch):
+    """A run twice as long, with one main component and some other members, makes twice the rows: one for each member."""
+    monkeypatch.setattr(minhash, "LONGEST_RUN", 8)
+    for n in (200, 400):
+        of = [(1, i, 0 if i < n - 10 else i) for i in range(n)] + [(2, i, i) for i in range(5)] + [(3, i, 0) for i in range(50)]
+        met = minhash._met(spark.createDataFrame(of, "key long, id long, c long"))
+        assert {r["id"] for r in met.collect()} == set(range(n))
+        assert rows_joined(met._jdf.queryExecution().executedPlan()) == n + 5
