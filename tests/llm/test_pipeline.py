@@ -1,4 +1,5 @@
 import os
+import random
 
 import corpus_pipeline
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from mdframe.llm import minhash
 from mdframe.llm.bpe import encoder
 from mdframe.llm.common import table
 from mdframe.llm.decontaminate import OP6_SQL
@@ -14,7 +16,7 @@ from mdframe.llm.quality import fit_quality, rule_matrix
 from mdframe.llm.toxicity import fit_toxicity
 
 from .test_classifiers import plain_statistics
-from .test_minhash import brute
+from .test_minhash import brute, rows_joined
 
 DATA = "/root/testdata/sf0.01"
 
@@ -48,6 +50,29 @@ def test_empty_documents(spark, empty, tmp_path):
     assert corpus_pipeline.run(spark, folder).collect() == []
 
 
+def test_near_duplicates_join_members_of_runs_once(spark, monkeypatch):
+    """Texts that share a passage give long runs; each of their members is joined once, and all links are found."""
+    monkeypatch.setattr(minhash, "LONGEST_RUN", 8)
+    seen, met = [], minhash._met
+
+    def counted(of, *more):
+        out = met(of, *more)
+        out.collect()
+        seen.append((rows_joined(out._jdf.queryExecution().executedPlan()), of.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_met", counted)
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        own = [f"k{k}w{j}" for j in range(rng.choice([3, 12, 25]))]
+        rows += [" ".join([*(f"p{j}" for j in range(60)), *own, *tail]) for tail in ([], ["tail"])[: 1 + (k % 5 == 0)]]
+    rows = list(enumerate(rows))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, c in brute(rows, 5, 80).items() if i == c)
+    assert len(seen) == 1 and 0 < seen[0][0] <= seen[0][1]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_each_stage_equals_brute_force(spark):
     """Every stage drops rows of its own, and just those that a plain version of it drops; the run ends with what is left."""
