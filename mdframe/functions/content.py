@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from mdframe.functions.scalar import wildcard
 from mdframe.lang import tree as t
 from mdframe.lang.tokens import QueryError
-from mdframe.markdown.index import GREP_TYPE, INDEX_TYPE, Walker, grep_text, grep_texts, outline_text, parse_index
+from mdframe.markdown.index import GREP_TYPE, INDEX_TYPE, Needs, Walker, grep_text, grep_texts, outline_text, parse_index, pruned
 from mdframe.plans.values import BOOL, LONG, STRING, Val
 
 # The element functions and the field that a text argument filters; none for elements without such a field.
@@ -29,6 +31,8 @@ INLINE = frozenset("link linkRef image imageRef inlineCode em strong del break f
 #: Of these, blocks of which only the text is read, and what holds it.
 TEXT_OF = {"table": "table", "tableRow": "table", "tableCell": "table", "p": "paragraph", "listItem": "listItem", "list": "listItem", "blockquote": "blockquote"}
 PLACES = {name: f"el_{name}" for name in ELEMENT_FIELD}
+#: Functions whose results are the same however elements are read.
+PLAIN_TYPES = frozenset({"toc", "outline", "has_section", "content"})
 
 
 def scans_of(query: t.Select) -> dict[str, tuple]:
@@ -43,35 +47,84 @@ def scans_of(query: t.Select) -> dict[str, tuple]:
     return out
 
 
+def _shape(node: object) -> str | None:
+    """Whether an expression is ``many`` elements of a body, or ``one``."""
+    match node:
+        case t.Call("section", _):
+            return "one"
+        case t.Name(name) if name in BARE and name not in PLAIN_TYPES:
+            return "many"
+        case t.Call(name, _) | t.Get(t.Name("body"), name) if name in NAMES and name not in PLAIN_TYPES:
+            return "one" if name == "section" else "many"
+        case t.Method(of, "filter" | "where" | "slice", _) if _shape(of) == "many":
+            return "many"
+        case t.Method(of, "sort", args) if args and _shape(of) == "many":
+            return "many"
+        case t.Method(of, "first" | "last", _) | t.Index(of, _) if _shape(of) == "many":
+            return "one"
+    return None
+
+
+def names_of(query: t.Select) -> frozenset[str] | None:
+    """Names of the parts of elements that a query reads; none if elements may be read as wholes."""
+    names: set[str | None] = {"level", "title"}  # of headings, which toc and h1 to h6 read
+    for node in t.walk(query):
+        match node:
+            case t.Name("_"):
+                return None
+            case t.Name(name) | t.Literal(str(name)) | t.Get(_, name):
+                names.add(name)
+        if isinstance(node, t.Call) and node.name in ELEMENT_FIELD and node.args:
+            names.add(ELEMENT_FIELD[node.name])
+        if {"tableRow", "tableCell"} & {getattr(node, "name", None), getattr(node, "key", None)}:
+            names |= {"headers", "rows", "cells"}
+        for x in t.children(node):
+            shape = _shape(x)
+            if shape is None:
+                continue
+            match node:
+                case t.Get(of, _) | t.IsEmpty(of, _) | t.Call("has", (of,)) if of is x:
+                    continue
+                case t.Index(of, _) | t.Method(of, "count" | "length" | "filter" | "where" | "slice" | "first" | "last", _) if of is x and shape == "many":
+                    continue
+                case t.Method(of, "map" | "sort", args) if of is x and args and shape == "many":
+                    continue
+            return None
+    return frozenset(n for n in names if n)
+
+
 def _grep_field(pattern: str, flags: str) -> str:
     return f"grep {flags} {pattern}"
 
 
-def index_column(body: Column, used: set[str], scans: dict[str, tuple] | None = None) -> Column:
+def index_column(body: Column, used: set[str], scans: dict[str, tuple] | None = None, names: frozenset[str] | None = None) -> Column:
     """The parsed index of a body as one struct of what the used functions read, with the results of ``scans``.
 
     A deterministic Arrow UDF: any number of uses parse once, patterns and outlines included, and filters on plain columns go below
-    it. Inlines are read only where an element needs them. Batches are bounded in bytes by Spark.
+    it. Inlines are read only where an element needs them, blocks only where they may hold one; elements have the parts of ``names``
+    (none: all). Batches are bounded in bytes by Spark.
     """
     scans = scans or {}
     fields = {PLACES.get({"tableRow": "table", "tableCell": "table"}.get(n, n)) for n in used} | {f"all_{n}" for n in used & {"links", "images", "codeblocks"}}
     if used & {"toc", "outline", "sections", "section", "has_section", "h1", "h2", "h3", "h4", "h5", "h6"}:
         fields.add("headings")
-    shown = [f for f in INDEX_TYPE if f.name in fields]
-    kind = T.StructType(shown + [T.StructField(n, GREP_TYPE if s[0] == "grep" else STRING) for n, s in scans.items()] or [INDEX_TYPE["headings"]])
-    names, inline = [f.name for f in shown], bool(used & INLINE) or any(s[0] == "grep" for s in scans.values())
+    fields &= set(INDEX_TYPE.fieldNames())
+    shown = [T.StructField(f.name, pruned(f.dataType, names)) for f in INDEX_TYPE if f.name in fields]
+    kind = T.StructType(shown + [T.StructField(n, pruned(GREP_TYPE, names) if s[0] == "grep" else STRING) for n, s in scans.items()] or [INDEX_TYPE["headings"]])
+    needs = Needs(fields, names, [tuple(s[1:]) for s in scans.values() if s[0] == "grep"])
+    inline = bool(used & INLINE) or any(s[0] == "grep" for s in scans.values())
 
     texts = None if any(s[0] == "grep" for s in scans.values()) or used & INLINE - set(TEXT_OF) else frozenset(TEXT_OF[n] for n in used & set(TEXT_OF))
 
     def read(text: str | None) -> dict:
         if not scans:
-            return parse_index(text, inline, texts)
-        walker = Walker(text, inline, texts).run() if text else None
+            return parse_index(text, inline, texts, needs)
+        walker = Walker(text, inline, texts, needs).run() if text else None
         out = walker.out if walker else parse_index(None)
         extra = {}
         for name, (what, *args) in scans.items():
             if what == "grep":
-                extra[name] = grep_texts(walker.texts, *args) if walker else []
+                extra[name] = grep_texts(walker.texts, *args, needs) if walker else []
             else:
                 extra[name] = outline_text([(h["level"], h["title"]) for h in out["headings"]], *args)
         return out | extra
@@ -79,10 +132,16 @@ def index_column(body: Column, used: set[str], scans: dict[str, tuple] | None =
     @F.arrow_udf(kind)
     def parsed(bodies: pa.Array) -> pa.Array:
         columns: dict[str, list] = {f: [] for f in kind.fieldNames()}
-        for text in bodies.to_pylist():
-            row = read(text)
-            for name, values in columns.items():
-                values.append(row[name])
+        collects = gc.isenabled()
+        gc.disable()  # rows hold no cycles, and walks over all of them would take a good part of the time
+        try:
+            for text in bodies.to_pylist():
+                row = read(text)
+                for name, values in columns.items():
+                    values.append(row[name])
+        finally:
+            if collects:
+                gc.enable()
         types = to_arrow_type(kind)
         return pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in types], fields=list(types))
 
@@ -93,11 +152,11 @@ def elements(index: Val, name: str) -> Val:
     """All elements of a kind."""
     if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
         a = index.col.getField("headings")
-        kind = T.StructType([f for f in INDEX_TYPE["headings"].dataType.elementType if f.name != "hierarchy"])
+        kind = T.StructType([f for f in index.type["headings"].dataType.elementType if f.name != "hierarchy"])
         own = F.filter(a, lambda h: h["level"] == int(name[1]))
         return Val(F.transform(own, lambda h: F.struct(*[h[f].alias(f) for f in kind.fieldNames()])), T.ArrayType(kind))
     place = {"tableRow": "table", "tableCell": "table"}.get(name, name)
-    a, kind = index.col.getField(PLACES[place]), INDEX_TYPE[PLACES[place]].dataType
+    a, kind = index.col.getField(PLACES[place]), index.type[PLACES[place]].dataType
     if name == "tableRow":
         return Val(F.flatten(F.transform(a, lambda x: x["rows"])), kind.elementType["rows"].dataType)
     if name == "tableCell":
@@ -115,7 +174,7 @@ def toc(index: Val, levels: list[object]) -> Val:
 
 
 def sections(index: Val) -> Val:
-    kind = INDEX_TYPE["headings"].dataType
+    kind = index.type["headings"].dataType
     return Val(F.transform(index.col.getField("headings"), lambda h: F.struct(*[
         (F.when(h["content"] != "", h["content"]) if f == "content" else h[f]).alias(f) for f in kind.elementType.fieldNames()
     ])), kind)
@@ -145,13 +204,14 @@ def call_content(name: str, args: list[Val], index: Val, body: Val) -> Val:
             return Val(F.array_join(F.slice(lines, F.greatest(a, F.lit(1)), F.greatest(b - F.greatest(a, F.lit(1)) + 1, F.lit(0))), "\n"), STRING)
         case "links" | "images" | "codeblocks":
             place = f"all_{name}"
-            return Val(index.col.getField(place), INDEX_TYPE[place].dataType)
+            return Val(index.col.getField(place), index.type[place].dataType)
         case "grep":
             pattern = plain[1] if len(args) > 1 else plain[0] if plain else None
             if not isinstance(pattern, tuple):
                 raise QueryError("grep() requires a regex pattern")
             if len(args) == 1:
-                return Val(index.col.getField(_grep_field(*pattern)), GREP_TYPE)
+                field = _grep_field(*pattern)
+                return Val(index.col.getField(field), index.type[field].dataType)
 
             @F.arrow_udf(GREP_TYPE)
             def grepped(texts: pa.Array) -> pa.Array:

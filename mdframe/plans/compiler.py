@@ -324,7 +324,7 @@ class Compiler:
         used = {n.name for n in names if isinstance(n, t.Name | t.Call)} | {n.key for n in t.walk(query) if isinstance(n, t.Get)}
         body = "body" in frame.columns
         if body and used & content.NAMES:
-            frame = self.spread(frame).withColumn(f"{HIDDEN}index", content.index_column(F.col("body"), used, content.scans_of(query)))
+            frame = self.spread(frame).withColumn(f"{HIDDEN}index", content.index_column(F.col("body"), used, content.scans_of(query), content.names_of(query)))
         prefix = inner_prefix(outer)
         if prefix:  # a subquery's columns have names of their own, so that those of the outer query stay visible
             frame = frame.select(*[quoted(c).alias(prefix + c) for c in frame.columns]).alias(prefix)  # the alias ends the search for names
